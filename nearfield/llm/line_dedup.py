@@ -80,11 +80,16 @@ def without_lines(text: Column, removed: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, min_sites: int = 10, stats: bool = False) -> DataFrame:
-    """The documents without boilerplate lines. ``stats`` adds n_lines and n_removed (not blank, removed)."""
-    gone = removals(docs, min_sites).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(scratch.small_side(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
+    """The documents without boilerplate lines. ``stats`` adds n_lines and n_removed (not blank, removed).
+
+    Input columns travel as one struct, so none of their names can clash with the operator's own.
+    """
+    gone = removals(docs.select("doc_id", "text", "source"), min_sites).select(F.col("doc_id").alias("id"), "th", "removed")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("of"), F.xxhash64("text").alias("key"))
+    rows = rows.join(scratch.small_side(gone), F.col("of").eqNullSafe(F.col("id")) & (F.col("key") == F.col("th")), "left")
+    text = F.col("row.text")
+    own = [without_lines(text, F.col("removed")).alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
     if stats:
-        solid = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.trim(line) != ""))
-        joined = joined.withColumn("n_lines", solid.cast("long")).withColumn("n_removed", F.coalesce(F.size("_removed"), F.lit(0)).cast("long"))
-    return joined.withColumn("text", without_lines(F.col("text"), F.col("_removed"))).drop("_id", "_th", "_removed", "_key")
+        solid = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.trim(line) != ""))
+        own += [solid.cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed")]
+    return rows.select(*own)
