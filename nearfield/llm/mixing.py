@@ -112,3 +112,18 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share:
     sized = sized_documents(docs)
     targets = scratch.materialize(source_targets(sized, weights, share, max_repeats), "targets")
     return pareto_mix(sized, targets, max_repeats, seed=seed)
+
+
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeats: int = 3, seed: str = "") -> DataFrame:
+    """Rows of ``docs``, each as often as the mix takes it, with their own columns.
+
+    Rows are matched by doc_id, source and size; those that agree in all three share a random number
+    and are taken alike, as often as the one of them that is taken most.
+    """
+    mixed = mix_documents(docs.select("doc_id", "source", "text"), weights, share, max_repeats, seed)
+    copies = mixed.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    copies = scratch.materialize(copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies"), "copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("d"), F.col("source").alias("s"), word_count(F.col("text")).alias("z"))
+    same = F.col("d").eqNullSafe(F.col("_d")) & F.col("s").eqNullSafe(F.col("_s")) & (F.col("z") == F.col("_z"))
+    rows = rows.join(scratch.small_side(copies), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, BASE, dtype=np.uint64), dtype=np.uint64)
 
 #: Bytes of text that one vectorised step handles; a longer text gets a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 
 def powers(n: int) -> np.ndarray:
@@ -112,3 +112,62 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
         out *= BASE
         out += words[j : j + n]
     return mix(out)
+
+
+_UNBASE = np.uint64(pow(int(BASE), -1, 2**64))
+
+
+class Runs:
+    """Hashes of any run of words in constant time each, from prefix sums of the word polynomial."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * powers(n), out=self.prefix[1:])
+        self.back = np.ones(n + 1, np.uint64)
+        np.cumprod(np.full(n, _UNBASE, dtype=np.uint64), out=self.back[1:])
+
+    def hashes(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return mix((self.prefix[hi] - self.prefix[lo]) * self.back[lo])
+
+
+def leftmost_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """For each j the place of the first smallest of values[j : j + width]."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at = np.arange(len(values))
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        left, right = at[: len(at) - step], at[step:]
+        at = np.where(values[left] <= values[right], left, right)
+        done += step
+    return at
+
+
+def text_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """The words from ``starts`` to ``ends``, in order, joined by one space for each of n owners."""
+    if len(starts) == 0:
+        return pa.array([""] * n, pa.string())
+    size = ends - starts + 1
+    shift = np.cumsum(size) - size
+    total = int(size.sum())
+    take = np.arange(total) + np.repeat(starts - shift, size)
+    last = shift + size - 1
+    take[last] = 0
+    out = data[take]
+    out[last] = 0x20
+    length = np.bincount(owner, weights=size, minlength=n).astype(np.int64)
+    final = last[np.flatnonzero(np.diff(owner, append=-1))]
+    out = np.delete(out, final)
+    offsets = np.zeros(n + 1, np.int64)
+    np.cumsum(np.maximum(length - 1, 0), out=offsets[1:])
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())
+
+
+def list_array(counts: np.ndarray, values: pa.Array) -> pa.Array:
+    """A list column from the number of values of each row."""
+    offsets = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
