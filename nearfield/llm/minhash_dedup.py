@@ -96,7 +96,7 @@ def signatures(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """The signatures in a binary column without nulls."""
-    return A.fromA.binaries(column, np.uint32)
+    return A.from_binaries(column, np.uint32)
 
 
 def _set_hashes(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

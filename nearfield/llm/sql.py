@@ -64,4 +64,54 @@ expected as (
 select doc_id, size, source_size, target, ((whole + case when q is not null and 2 * upto - size <= 2 * rest then 1 else 0 end) * size)::bigint as taken from placed
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op7_chat_formatting": OP7, "op9_mixing": OP9}
+_COMPONENTS = """
+reach as (
+  select id, id as dest from nodes
+  union
+  select r.id, l.b as to from reach r join both_ways l on r.dest = l.a
+), comp as (select id, min(dest) as component_id from reach group by id)
+"""
+
+OP4 = f"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents
+), sets as (
+  select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) end) as s from w
+), items as (select doc_id, len(s) as n, unnest(s) as x from sets), shared as (
+  select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as hits from items a join items b on a.x = b.x and a.doc_id < b.doc_id
+  where 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by all
+), links as (select a, b from shared where 100 * hits >= 85 * (na + nb - hits)),
+both_ways as (select a, b from links union select b, a from links), nodes as (select doc_id as id from documents), {_COMPONENTS}
+select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept from sets join comp on id = doc_id
+"""
+
+OP8 = f"""
+with recursive e as (
+  select vec_id as id, label, embedding::double[] as v, embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0 and label is not null as fine from embeddings
+), n as (select id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from e where fine),
+links as (
+  select a.id as a, b.id as b from n a join n b on a.label = b.label and a.id < b.id and len(a.v) = len(b.v)
+  where list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / (a.norm * b.norm) >= 0.93
+), both_ways as (select a, b from links union select b, a from links), nodes as (select id from e), {_COMPONENTS}
+select e.id as vec_id, coalesce(k.n, 0) as n_links, component_id, e.id = component_id as kept
+from e join comp using (id) left join (select a, count(*) as n from both_ways group by a) k on k.a = e.id
+"""
+
+OP10 = """
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents
+), windows as (
+  select doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w)
+), firsts as (select h, min(doc_id) as first from windows group by h having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as pos from windows join firsts using (h) where doc_id > first),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+kept as (
+  select k.doc_id, count(g.pos) as n_removed, string_agg(word, ' ' order by k.pos) filter (g.pos is null) as text
+  from words k left join gone g on g.doc_id = k.doc_id and g.pos = k.pos group by k.doc_id
+)
+select w.doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256 from w left join kept using (doc_id)
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op4_minhash_dedup": OP4, "op7_chat_formatting": OP7, "op8_metric_join": OP8, "op9_mixing": OP9, "op10_substring_dedup": OP10}
