@@ -37,8 +37,8 @@ from nearfield.functions import arrow as A
 from nearfield.llm import textbatch as tb
 from nearfield.llm import vectors as vec
 
-TABLES = 12
-PROBES = 24
+TABLES = 8
+PROBES = 12
 BUCKET_ROWS = 8192
 SLICE_ROWS = 4096
 ROUNDS = 3

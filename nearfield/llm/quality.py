@@ -2,9 +2,9 @@
 
 Every whole text becomes a short vector of statistics (``STATS``). Standardised statistics are mapped
 to ``FEATURES`` random cosines, whose inner products approximate a Gaussian kernel; partitions sum
-their part of the normal equations, the sums are added and solved for ridge scores. A quarter of the
-training rows, picked by hash, is left out of the ridge fit and calibrates its scores by isotonic
-regression (pool adjacent violators). The model is a few arrays of fixed size.
+their part of the normal equations by fold, the sums are added and solved for ridge scores. Each of
+``FOLDS`` folds, dealt by hash, is scored by the sums of the others, and those scores calibrate the
+model by isotonic regression (pool adjacent violators). The model is a few arrays of fixed size.
 
 Labels join on doc_id; ``max_rows`` bounds the rows the model is fitted on: beyond it a share of them
 is taken by a hash of doc_id. Scoring covers every row.
@@ -35,6 +35,7 @@ FEATURES = 384
 RIDGE = 1e-2
 MAX_ROWS = 40_000
 PARTS = 8
+FOLDS = 4
 
 _DIGIT, _UPPER, _LOWER, _HIGH, _STOP, _OTHER = range(6)
 _KIND = np.full(256, 6, np.int64)
@@ -156,24 +157,33 @@ def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _summed(rows: DataFrame, per_batch, width: int) -> np.ndarray:
-    """Sum over all rows of ``per_batch(x, y)``, an array of ``width`` numbers, one partial sum per partition."""
+    """Sums over the rows of each fold of ``per_batch(x, y)``, an array of ``width`` numbers; one partial sum per partition and fold."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
+        total = np.zeros((FOLDS, width))
         for batch in batches:
             if batch.num_rows:
-                total += per_batch(_stats_of(batch), batch.column("y").to_numpy(zero_copy_only=False).astype(float))
+                x, y, fold = _stats_of(batch), batch.column("y").to_numpy(zero_copy_only=False).astype(float), A.long_values(batch.column("fold"))
+                for f in np.unique(fold):
+                    total[f] += per_batch(x[fold == f], y[fold == f])
         yield pa.record_batch([pa.array([total.tobytes()])], names=["part"])
 
-    return sum((np.frombuffer(r["part"]) for r in rows.mapInArrow(part, "part binary").collect()), np.zeros(width))
+    return sum((np.frombuffer(r["part"]).reshape(FOLDS, width) for r in rows.coalesce(PARTS).mapInArrow(part, "part binary").toLocalIterator()), np.zeros((FOLDS, width)))
+
+
+def _solved(normal: np.ndarray, n: float) -> np.ndarray:
+    width = len(normal)
+    penalty = np.eye(width) * RIDGE * n / FEATURES
+    penalty[-1, -1] = 0
+    return np.linalg.solve(normal[:, :width] + penalty + np.eye(width) * 1e-9, normal[:, width])
 
 
 def fit(train: DataFrame) -> Model:
-    """``train`` has x, y (0 or 1) and holdout (kept for calibration), with bounded rows."""
+    """``train`` has x, y (0 or 1) and fold, with bounded rows."""
     zero = np.zeros(STATS)
     train = scratch.materialize(train.repartition(PARTS, F.xxhash64("x")), "training")
-    own = train.filter("not holdout").select("x", "y")
-    sums = _summed(own, lambda x, y: np.concatenate(([len(y), y.sum()], x.sum(axis=0), (x * x).sum(axis=0))), 2 + 2 * STATS)
+    sums = _summed(train, lambda x, y: np.concatenate(([len(y), y.sum()], x.sum(axis=0), (x * x).sum(axis=0))), 2 + 2 * STATS)
+    per_fold, sums = sums[:, 0], sums.sum(axis=0)
     n, ones = sums[:2]
     if not 0 < ones < n:
         return Model(zero, zero + 1, None, zero[:1], np.array([ones / n if n else 0.5]))
@@ -187,17 +197,17 @@ def fit(train: DataFrame) -> Model:
         balance = np.where(y > 0, 0.5 * n / ones, 0.5 * n / (n - ones))[:, None]
         return np.concatenate(((z * balance).T @ z, (z * balance).T @ y[:, None]), axis=1).ravel()
 
-    both = _summed(own, normal, width * (width + 1)).reshape(width, width + 1)
-    penalty = np.eye(width) * RIDGE * n / FEATURES
-    penalty[-1, -1] = 0
-    weights = np.linalg.solve(both[:, :width] + penalty + np.eye(width) * 1e-9, both[:, width])
-    model = Model(mean, blank.scale, weights, zero, zero)
-    kept = train.filter("holdout").select("x", "y").toArrow()
-    y = kept.column("y").to_numpy().astype(float)
-    if not len(y) or not 0 < y.sum() < len(y):
-        return Model(mean, blank.scale, weights, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    x = np.concatenate([_stats_of(b) for b in kept.to_batches() if b.num_rows])
-    return Model(mean, blank.scale, weights, *isotonic(model.raw(x), y))
+    parts = _summed(train, normal, width * (width + 1)).reshape(FOLDS, width, width + 1)
+    whole = parts.sum(axis=0)
+    others = [_solved(whole - parts[f], n - per_fold[f]) if per_fold[f] < n else np.zeros(width) for f in range(FOLDS)]
+    kept = train.select("x", "y", "fold").toArrow()
+    score, label = [], []
+    for batch in kept.to_batches():
+        if batch.num_rows:
+            fold = A.long_values(batch.column("fold"))
+            score.append((blank.features(_stats_of(batch)) * np.array(others)[fold]).sum(axis=1))
+            label.append(batch.column("y").to_numpy(zero_copy_only=False).astype(float))
+    return Model(mean, blank.scale, _solved(whole, n), *isotonic(np.concatenate(score), np.concatenate(label)))
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
@@ -216,7 +226,7 @@ def train_quality(stats: DataFrame, labels: DataFrame, learn: Column | None = No
     draw = lambda seed: F.xxhash64(F.lit(seed), "doc_id").cast("double") / 2.0**64 + 0.5
     if share < 1:
         named = scratch.materialize(named.filter(draw(1) < share), "labels")
-    return fit(stats.join(scratch.small_side(named), "doc_id").select("x", "y", (draw(2) < 0.25).alias("holdout")))
+    return fit(stats.join(scratch.small_side(named), "doc_id").select("x", "y", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")))
 
 
 def scored(stats: DataFrame, model: Model) -> DataFrame:

@@ -1,15 +1,16 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-The field tags each word as toxic or not. Its labelled tokens come from labelled documents: in a
-toxic document those words count as toxic whose share of toxic documents is at least ``MIN_SHARE``
-and ``MIN_LIFT`` times their share of clean ones; all words of clean documents count as clean.
-Documents that share their smallest word hash count once there, so that a family of near copies does
-not make its words look toxic. Word weights, a bias, transitions and starts maximise the penalised
-conditional likelihood; expected counts come from forward-backward sums.
-
-Scoring runs forward-backward over every whole text. A document's features are its largest marginal
-and the expected number of toxic words, a logistic curve fitted on the training documents turns them
-into the score; runs of words with marginals of one half or more are the offending spans.
+The field tags each word as toxic or not. A word's features are the word itself and its first bytes
+(``STEMS``), as toxic words are also built from a stem with any ending. Its labelled tokens come from
+labelled documents: in a toxic document those words count as toxic that have a feature whose share of
+toxic documents is at least ``MIN_LIFT`` times its share of clean ones, by a likelihood ratio of at
+least ``MIN_EVIDENCE``; all words of clean documents count as clean. Documents that share their smallest word hash count once there, so
+that a family of near copies does not make its words look toxic. Feature weights, a bias, transitions
+and starts maximise the penalised conditional likelihood, with expectations from forward-backward.
+
+Scoring runs forward-backward over every whole text. A document's features are its largest marginal,
+the expected number of toxic words and its length; a logistic curve fitted on the training documents
+turns them into the score; runs of words with marginals of one half or more are the offending spans.
 
 The chain is not walked word by word: a batch of texts is one long chain with restarts at each
 document, cut into strips that advance side by side; strip products of two-by-two matrices carry the
@@ -36,8 +37,10 @@ from nearfield import scratch
 from nearfield.llm import textbatch as tb
 
 MAX_ROWS = 1500
-MIN_SHARE, MIN_LIFT = 0.02, 20.0
-MIN_FAMILIES = 3
+#: The ratio statistic of a feature without bearing exceeds 24 about once in a million.
+MIN_LIFT, MIN_EVIDENCE = 6.0, 24.0
+#: Lengths in bytes of the beginnings of longer words that are features.
+STEMS = (5, 6, 7)
 STRIP = 128
 ROUNDS, RATE, PENALTY = 60, 0.3, 0.02
 SCORED = "doc_id long, score double, toxic_words double, spans array<struct<start: long, stop: long>>"
@@ -47,14 +50,20 @@ _EDGE[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B,
 
 
 def tokens(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word in ASCII lower case without marks at its ends; its start and end; first word of each text."""
+    """Feature hashes of each word in ASCII lower case without marks at its ends (0: none); its start and end; first word of each text."""
     starts, ends, first = tb.word_bounds(part, offsets)
     plain = np.concatenate(([0], np.flatnonzero(~_EDGE[part]), [len(part)]))
     lo = plain[np.minimum(np.searchsorted(plain[1:-1], starts) + 1, len(plain) - 1)] if len(starts) else starts
     hi = plain[np.searchsorted(plain[1:-1], ends)] + 1 if len(starts) else ends
     bare = (lo < ends) & (hi > lo)
     lo, hi = np.where(bare, lo, starts), np.where(bare, hi, ends)
-    return tb.word_hashes(tb.ASCII_LOWER[part], lo, hi), lo, hi, first
+    lower = tb.ASCII_LOWER[part]
+    out = np.zeros((len(lo), 1 + len(STEMS)), np.uint64)
+    out[:, 0] = tb.word_hashes(lower, lo, hi)
+    for column, size in enumerate(STEMS, 1):
+        longer = np.flatnonzero(hi - lo > size)
+        out[longer, column] = tb.mix(tb.word_hashes(lower, lo[longer], lo[longer] + size) + np.uint64(1))
+    return out, lo, hi, first
 
 
 def sweep(emit: np.ndarray, restart: np.ndarray, matrix: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -124,22 +133,24 @@ class Model:
     curve: np.ndarray
     constant: float | None = None
 
-    def emissions(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(hashes), np.exp(self.bias))
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.exp(np.clip(self.bias + np.where(self.keys[at] == hashes, self.weights[at], 0.0), -30, 30))
+    def emissions(self, features: np.ndarray) -> np.ndarray:
+        total = np.full(len(features), self.bias)
+        if len(self.keys):
+            for column in features.T:
+                at = np.minimum(np.searchsorted(self.keys, column), len(self.keys) - 1)
+                total += np.where(self.keys[at] == column, self.weights[at], 0.0)
+        return np.exp(np.clip(total, -30, 30))
 
-    def marginals(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return forward_backward(self.emissions(hashes), first, self.pair, self.start)[0] if len(hashes) else np.zeros(0)
+    def marginals(self, features: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return forward_backward(self.emissions(features), first, self.pair, self.start)[0] if len(features) else np.zeros(0)
 
     def document_features(self, marginal: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Largest marginal and log of one more than the expected number of toxic words."""
+        """Largest marginal, log of one more than the expected number of toxic words, log of one more than the words."""
         n = len(first) - 1
         owner = np.repeat(np.arange(n), np.diff(first))
         top = np.zeros(n)
         np.maximum.at(top, owner, marginal)
-        return np.stack((top, np.log1p(np.bincount(owner, weights=marginal, minlength=n))), axis=1)
+        return np.stack((top, np.log1p(np.bincount(owner, weights=marginal, minlength=n)), np.log1p(np.diff(first))), axis=1)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -148,35 +159,39 @@ class Model:
 
 
 def seeds(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the words that count as toxic in toxic documents."""
-    family = np.array([w.min() if len(w) else 0 for w in words], np.uint64)
+    """Sorted hashes of the features that mark a word as toxic in toxic documents."""
+    family = np.array([w[:, 0].min() if len(w) else 0 for w in words], np.uint64)
     kinds = []
     for kind in (1, 0):
-        pairs = [np.stack((np.unique(words[i]), np.full(len(np.unique(words[i])), family[i])), axis=1) for i in np.flatnonzero(toxic == kind) if len(words[i])]
-        both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.uint64)
-        word, n = np.unique(both[:, 0], return_counts=True)
-        kinds.append((word, n, max(1, len(np.unique(family[toxic == kind])))))
-    (word, n, total), (clean, m, others) = kinds
-    at = np.minimum(np.searchsorted(clean, word), max(0, len(clean) - 1))
-    seen = np.where(clean[at] == word, m[at], 0) if len(clean) else np.zeros(len(word))
-    share = n / total
-    return word[(n >= MIN_FAMILIES) & (share >= MIN_SHARE) & (share >= MIN_LIFT * (seen + 0.5) / others)]
+        pairs = []
+        for i in np.flatnonzero(toxic == kind):
+            own = np.unique(words[i])
+            pairs.append(np.stack((own, np.full(len(own), family[i])), axis=1))
+        both = np.unique(np.concatenate(pairs), axis=0)
+        feature, n = np.unique(both[:, 0], return_counts=True)
+        kinds.append((feature, n, len(np.unique(family[toxic == kind]))))
+    (feature, n, total), (clean, m, others) = kinds
+    at = np.minimum(np.searchsorted(clean, feature), max(0, len(clean) - 1))
+    seen = np.where(clean[at] == feature, m[at], 0) if len(clean) else np.zeros(len(feature))
+    expected = (n + seen) * total / (total + others)
+    evidence = 2 * (n * np.log(n / expected) + seen * np.log(np.maximum(seen, 1) / np.maximum(n + seen - expected, 1e-9)))
+    return feature[(feature > 0) & (n / total >= MIN_LIFT * (seen + 0.5) / others) & (evidence >= MIN_EVIDENCE)]
 
 
 def fit(words: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """``words``: the word hashes of each training document; ``toxic``: 0 or 1 for each."""
+    """``words``: the feature hashes of each training document; ``toxic``: 0 or 1 for each."""
     none = np.zeros(0, np.uint64)
     flat_pair, flat_start = np.full((2, 2), 0.5), np.full(2, 0.5)
     if not len(words) or toxic.min() == toxic.max():
-        return Model(none, np.zeros(0), 0.0, flat_pair, flat_start, np.zeros(3), float(toxic.mean()) if len(words) else 0.0)
+        return Model(none, np.zeros(0), 0.0, flat_pair, flat_start, np.zeros(4), float(toxic.mean()) if len(words) else 0.0)
     seed = seeds(words, toxic)
     first = np.concatenate(([0], np.cumsum([len(w) for w in words])))
     every = np.concatenate(words)
     owner = np.repeat(np.arange(len(words)), np.diff(first))
-    y = np.isin(every, seed) & (toxic[owner] == 1)
+    y = np.isin(every, seed).any(axis=1) & (toxic[owner] == 1)
     keys, index, count = np.unique(every, return_inverse=True, return_counts=True)
-    kept = (count >= 3) | np.isin(keys, seed)
-    row = np.where(kept, np.cumsum(kept) - 1, int(kept.sum()))[index]
+    kept = ((count >= 3) | np.isin(keys, seed)) & (keys > 0)
+    row = np.where(kept, np.cumsum(kept) - 1, int(kept.sum()))[index].reshape(every.shape)
     keys = keys[kept]
     inner = np.ones(len(every), bool)
     inner[first[:-1][np.diff(first) > 0]] = False
@@ -190,20 +205,20 @@ def fit(words: list[np.ndarray], toxic: np.ndarray) -> Model:
     moment, spread = np.zeros_like(theta), np.zeros_like(theta)
     for turn in range(1, ROUNDS + 1):
         weight = np.append(theta[:size], 0.0)
-        emit = np.exp(np.clip(theta[size] + weight[row], -30, 30))
+        emit = np.exp(np.clip(theta[size] + weight[row].sum(axis=1), -30, 30))
         pair, start = np.exp(theta[size + 1 : size + 5]).reshape(2, 2), np.exp(theta[size + 5 :])
         p, ahead, back = forward_backward(emit, first, pair, start)
         joint = ahead[after - 1][:, :, None] * pair * back[after][:, None, :]
         joint /= joint.sum(axis=(1, 2), keepdims=True)
         error = y - p
-        grad = np.concatenate((np.bincount(row, weights=error, minlength=size + 1)[:size], [error.sum()], (seen_pair - joint.sum(axis=0)).ravel(), seen_start - [(1 - p[head]).sum(), p[head].sum()]))
+        grad = np.concatenate((np.bincount(row.ravel(), weights=np.repeat(error, row.shape[1]), minlength=size + 1)[:size], [error.sum()], (seen_pair - joint.sum(axis=0)).ravel(), seen_start - [(1 - p[head]).sum(), p[head].sum()]))
         grad -= PENALTY * theta
         moment = 0.9 * moment + 0.1 * grad
         spread = 0.99 * spread + 0.01 * grad**2
         theta += RATE * (moment / (1 - 0.9**turn)) / (np.sqrt(spread / (1 - 0.99**turn)) + 1e-8)
-    live = np.abs(theta[:size]) > 1e-3
+    live = np.abs(theta[:size]) > 0.05
     pair, start = np.exp(theta[size + 1 : size + 5]).reshape(2, 2), np.exp(theta[size + 5 :])
-    model = Model(keys[live], theta[:size][live], float(theta[size]), pair, start, np.zeros(3))
+    model = Model(keys[live], theta[:size][live], float(theta[size]), pair, start, np.zeros(4))
     features = model.document_features(model.marginals(every, first), first)
     return Model(model.keys, model.weights, model.bias, pair, start, logistic(features, toxic.astype(float)))
 
@@ -228,7 +243,7 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = tb.as_bytes(batch.column("text"))
         for lo, hi in tb.steps(offsets):
             hashes, _, _, first = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            raw = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(hashes)])
+            raw = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((first * hashes.shape[1] * 8).astype(np.int32)), pa.py_buffer(hashes)])
             yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), raw], names=["doc_id", "y", "words"])
 
 
@@ -245,7 +260,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     picked = scratch.materialize(named.filter(draw < share), "picked")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(scratch.small_side(picked), "doc_id")
     table = scratch.materialize(rows.mapInArrow(_hash_rows, "doc_id long, y int, words binary"), "training").orderBy("doc_id").toArrow()
-    words = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")]
+    words = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 1 + len(STEMS)) for x in table.column("words")]
     return fit(words, table.column("y").to_numpy().astype(np.int64))
 
 
