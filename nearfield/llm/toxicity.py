@@ -25,6 +25,7 @@ without labels); an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,13 +37,13 @@ from pyspark.sql import functions as F
 from nearfield import scratch
 from nearfield.llm import textbatch as tb
 
-MAX_ROWS = 1500
+MAX_ROWS = 1000
 #: The ratio statistic of a feature without bearing exceeds 24 about once in a million.
 MIN_LIFT, MIN_EVIDENCE = 6.0, 24.0
 #: Lengths in bytes of the beginnings of longer words that are features.
 STEMS = (5, 6, 7)
 STRIP = 128
-ROUNDS, RATE, PENALTY = 60, 0.3, 0.02
+ROUNDS, RATE, PENALTY = 40, 0.3, 0.02
 SCORED = "doc_id long, score double, toxic_words double, spans array<struct<start: long, stop: long>>"
 
 _EDGE = np.zeros(256, bool)
@@ -69,13 +70,14 @@ def tokens(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def sweep(emit: np.ndarray, restart: np.ndarray, matrix: np.ndarray, start: np.ndarray) -> np.ndarray:
     """States s_t (n, 2), each summing to 1, of s_t ~ (1, emit_t) * (matrix @ s_{t-1}), or (1, emit_t) * start at a restart."""
     n = len(emit)
-    strips = -(-n // STRIP)
-    size = strips * STRIP
+    length = max(STRIP, math.isqrt(n))
+    strips = -(-n // length)
+    size = strips * length
     e = np.ones(size)
     e[:n] = emit
     r = np.zeros(size, bool)
     r[:n] = restart
-    e, r = e.reshape(strips, STRIP).T, r.reshape(strips, STRIP).T
+    e, r = e.reshape(strips, length).T, r.reshape(strips, length).T
     total = np.repeat(np.eye(2)[:, :, None], strips, axis=2)
 
     def step(state: np.ndarray, t: int) -> np.ndarray:
@@ -87,7 +89,7 @@ def sweep(emit: np.ndarray, restart: np.ndarray, matrix: np.ndarray, start: np.n
         one = np.where(r[t], start[1] * mass, one) * e[t]
         return np.stack((zero, one))
 
-    for t in range(STRIP):
+    for t in range(length):
         total = step(total, t)
         total /= total.sum(axis=(0, 1))
     carry = np.empty((2, strips))
@@ -96,9 +98,9 @@ def sweep(emit: np.ndarray, restart: np.ndarray, matrix: np.ndarray, start: np.n
         carry[:, k] = v
         v = total[:, :, k] @ v
         v /= v.sum()
-    out = np.empty((STRIP, 2, strips))
+    out = np.empty((length, 2, strips))
     state = carry[:, None, :]
-    for t in range(STRIP):
+    for t in range(length):
         state = step(state, t)
         state = state / state.sum(axis=0)
         out[t] = state[:, 0]
