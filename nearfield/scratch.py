@@ -55,7 +55,7 @@ def size_bytes(df: DataFrame) -> int:
 
 
 #: A side of a join is broadcast only if its measured files are at most this large.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def small_side(df: DataFrame) -> DataFrame:
