@@ -32,73 +32,16 @@ from pyspark.sql import functions as F
 from nearfield import scratch
 from nearfield.functions import arrow as A
 from nearfield.llm import textbatch as tb
+from nearfield.llm.wordbpe import WordBpe
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that are numbered in one task.
 RANK_ROWS = 20_000
-#: Distinct words whose ids a Python worker remembers.
-MEMORY_WORDS = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordEncoder:
-    """Token ids of texts, word by word: the tokenizer drops white space, so no token spans words.
-
-    Each distinct word is encoded once and remembered until MEMORY_WORDS are.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(keys) > MEMORY_WORDS:
-            self.forget()
-        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
-        begin = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate((self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))))
-        keys, begin, size = np.concatenate((self.keys, keys)), np.concatenate((self.begin, begin)), np.concatenate((self.size, size))
-        order = np.argsort(keys)
-        self.keys, self.begin, self.size = keys[order], begin[order], size[order]
-
-    def places(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each word its entry in keys, begin and size."""
-        distinct, first, back = np.unique(tb.word_hashes(part, starts, ends), return_index=True, return_inverse=True)
-        fresh = np.flatnonzero(~self.known(distinct))
-        if len(fresh) + len(self.keys) > MEMORY_WORDS:
-            self.forget()
-            fresh = np.arange(len(distinct))
-        if len(fresh):
-            raw = part.tobytes()
-            self.learn(distinct[fresh], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[fresh]])
-        return np.searchsorted(self.keys, distinct)[back]
-
-    def known(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
-
-    def encode(self, part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and their n+1 offsets."""
-        starts, ends, first = tb.word_bounds(part, offsets)
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        at = self.places(part, starts, ends)
-        size = self.size[at]
-        upto = np.concatenate(([0], np.cumsum(size)))
-        ids = self.pool[np.arange(upto[-1]) + np.repeat(self.begin[at] - upto[:-1], size)]
-        return ids, upto[first]
-
-
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordBpe] = {}
 
 
 def cut_pieces(path: str, capacity: int):
@@ -106,7 +49,7 @@ def cut_pieces(path: str, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
+            _encoders[path] = WordBpe(path)
         encoder, end = _encoders[path], np.array([END_ID], np.uint32)
         for batch in batches:
             data, offsets = tb.as_bytes(batch.column("text"))
