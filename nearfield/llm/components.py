@@ -1,8 +1,11 @@
-"""Connected components of a link table by alternating large-star and small-star steps.
-
-Each step is an aggregation to the smallest neighbour, combined before the shuffle, and an equi-join
-back, so neither a vertex with very many links nor a large component meets in one task; skewed join
-keys are split by the planner. Links stay distributed, and each step is written to the shared folder.
+"""Connected components of a link table by smallest labels and pointer jumping.
+
+Each round gives every vertex the smallest label among itself and its neighbours, by an aggregation
+that is combined before the shuffle, and then the label of that label. At the fixed point the labels
+of neighbours agree, so a label is the smallest id of its component. Labels of earlier rounds are ids
+of the vertex's own component, too, so stopping early joins no two components. Neither a vertex with
+very many links nor a large component meets in one task. Links stay distributed, and each round is
+written to the shared folder.
 """
 
 from __future__ import annotations
@@ -13,33 +16,22 @@ from pyspark.sql import functions as F
 from nearfield import scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of u is linked to u's smallest neighbour (or u)."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every smaller neighbour of u, and u, is linked to the smallest of them; here u > v in every edge."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def _digest(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
-
-
-def components(links: DataFrame) -> DataFrame:
-    """id, component (smallest id reachable) for every id in ``links`` (two integer columns a, b; order and repeats don't matter)."""
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = scratch.materialize(edges, "links")
-    state = _digest(edges)
-    while state[0]:
-        edges = scratch.materialize(_small_star(_large_star(edges)), "stars")
-        if (now := _digest(edges)) == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """id, component for every id in ``links`` (two integer columns a, b; order and repeats don't matter).
+
+    The component is the smallest id reachable; with ``rounds``, the smallest found in that many.
+    """
+    arcs = links.filter("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")), F.struct(F.col("a").alias("x"), F.col("a").alias("y")), F.struct(F.col("b").alias("x"), F.col("b").alias("y")))).alias("e"))
+    arcs = scratch.materialize(arcs.select("e.x", "e.y").distinct(), "links")
+    labels = arcs.groupBy("x").agg(F.min("y").alias("label")).withColumn("before", F.col("x"))
+    turn = 0
+    while True:
+        labels = scratch.materialize(labels, "labels")
+        turn += 1
+        if labels.filter("label < before").isEmpty() or turn == rounds:
+            return labels.select(F.col("x").alias("id"), F.col("label").alias("component"))
+        onward = labels.select(F.col("x").alias("label"), F.col("label").alias("further"))
+        jumped = labels.select("x", "label").join(scratch.small_side(onward), "label").select(F.col("x").alias("y"), F.col("further").alias("l"))
+        jumped = scratch.materialize(jumped, "jumped")
+        own = F.max(F.when(F.col("x") == F.col("y"), F.col("l"))).alias("before")
+        labels = arcs.join(scratch.small_side(jumped), "y").groupBy("x").agg(F.min("l").alias("label"), own)

@@ -13,18 +13,24 @@ trees with under 2e-6; a pair is also missed if its estimated similarity is impr
 
 1. In two trees, each node at depth 1 is cut into blocks; each block's medoid is paired with the
    block's documents, and medoids of a node's blocks with one another's least. Confirmed links give
-   provisional groups: a large group of near copies becomes one group from a linear number of pairs.
+   provisional groups, whose members are surely connected: a large group of near copies becomes one
+   group, or a few, from a linear number of pairs.
 2. In all trees, a node whose documents are in one group ends, since no link in it can change a
    group. Nodes up to ``NODE_DOCS`` documents are compared exhaustively, pair by pair across groups;
-   larger ones branch on. Nodes still larger at ``DEPTH`` are ordered by group and cut into blocks,
-   and every pair of blocks that is not within one group is compared, each in a task of its own.
+   larger ones branch on. Larger nodes of few groups, and all those still larger at ``DEPTH``, are
+   dealt to blocks by group, and every pair of blocks that is not within one group is a unit that is
+   compared in a task of its own.
 
-All candidate pairs are confirmed by the intersection of the full sets. Nothing is capped.
+No pair of documents ever becomes a row. A first pass over a unit's signatures keeps the documents that
+have a candidate there; their full sets join the unit, which confirms links on them and gives one link
+to each document's first partner of its group inside the unit. Pairs already joined inside a unit are
+not confirmed again, and a pair that shares several nodes of depth 1 is judged in the first of them.
+Nothing is capped.
 
 Defined results: a null or blank text has an empty set and links with nothing; a null doc_id counts
-as the largest id and is returned as null; rows with one doc_id are judged by their own texts; equal
-rows get equal results; ties go to the smallest doc_id; an empty table gives no rows; other columns
-are ignored.
+as the largest id and is returned as null; rows that share a doc_id are one document, linked by any of
+their texts; equal rows get equal results; ties go to the smallest doc_id; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,14 +54,18 @@ BRANCHES = 2
 TREES = 5
 STAR_TREES = 2
 NODE_DOCS = 256
-DEPTH = 4
+DEPTH = 3
+#: Rounds of label exchange for the provisional groups.
+GROUP_ROUNDS = 3
 LAST_ID = 2**63 - 1
 
 _rng = np.random.default_rng(0xC4A1)
 _FACTORS = _rng.integers(1, 2**63, size=POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = _rng.integers(0, 2**63, size=(TREES + 1, BRANCHES), dtype=np.uint64)
+#: Positions selected at the roots, by tree and branch.
+_ROOTS = (_SALTS[:TREES].ravel() % np.uint64(POSITIONS)).astype(int)
 PARSED = "doc long, n long, h1 long, h2 long, sig binary"
-CELL = "cell long, id long, comp long, n long, sig binary"
+CELL = "cell long, id long, comp long, k int, mask long, n long, sig binary"
 
 
 def shingle_sets(part: np.ndarray, offsets: np.ndarray, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -135,10 +145,9 @@ def root_keys(trees: range):
         for batch in batches:
             if batch.num_rows:
                 sig, ids = _matrix(batch.column("sig")), batch.column("id")
-                for tree in trees:
-                    for salt in _SALTS[tree]:
-                        node = tb.mix(sig[:, int(salt % np.uint64(POSITIONS))].astype(np.uint64) ^ salt)
-                        yield pa.record_batch([pa.array(node.view(np.int64)), ids], names=["node", "id"])
+                for k in range(BRANCHES * trees.start, BRANCHES * trees.stop):
+                    node = tb.mix(sig[:, _ROOTS[k]].astype(np.uint64) ^ _SALTS[k // BRANCHES, k % BRANCHES])
+                    yield pa.record_batch([pa.array(node.view(np.int64)), ids, pa.array(np.full(len(ids), k, np.int32))], names=["node", "id", "k"])
 
     return keys
 
@@ -152,7 +161,7 @@ def child_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for salt in _SALTS[TREES]:
                 at = tb.mix(node ^ salt)
                 token = sig[np.arange(len(at)), (at % np.uint64(POSITIONS)).astype(np.int64)].astype(np.uint64)
-                yield pa.record_batch([pa.array(tb.mix(at + tb.mix(token)).view(np.int64)), ids], names=["node", "id"])
+                yield pa.record_batch([pa.array(tb.mix(at + tb.mix(token)).view(np.int64)), ids, pa.array(np.full(len(ids), len(_ROOTS), np.int32))], names=["node", "id", "k"])
 
 
 def least_agreement(percent: int, miss: float = 1e-6) -> int:
@@ -165,66 +174,86 @@ def least_agreement(percent: int, miss: float = 1e-6) -> int:
     return POSITIONS
 
 
-def compare_cells(percent: int, star: bool):
-    """mapInArrow function over rows sorted by cell: candidate pairs a < b; cells never span partitions.
+def _agreeing(percent: int, sig: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shared positions of pairs, and which pairs are candidates: their sizes allow the similarity and enough positions agree."""
+    agree = np.zeros(len(a), np.int64)
+    for k in range(0, len(a), 50_000):
+        agree[k : k + 50_000] = (sig[a[k : k + 50_000]] == sig[b[k : k + 50_000]]).sum(axis=1)
+    return agree, (agree >= least_agreement(percent)) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+
+
+def star_pairs(percent: int):
+    """Work on one cell (id, n, sig): the medoid with each candidate partner, and with itself."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, n, sig = _columns(table, "id", "n")
+        if len(ids) < 2:
+            return
+        total = np.zeros(len(ids), np.int64)
+        for column in sig.T:
+            _, back, times = np.unique(column, return_inverse=True, return_counts=True)
+            total += times[back]
+        hub = int(np.lexsort((ids, -total))[0])
+        _, good = _agreeing(percent, sig, n, np.full(len(ids), hub), np.arange(len(ids)))
+        good[hub] = True
+        yield pa.record_batch([pa.array(np.minimum(ids[good], ids[hub])), pa.array(np.maximum(ids[good], ids[hub]))], names=["a", "b"])
+
+    return work
+
+
+def _columns(table: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
+    return *(A.long_values(A.chunk(table, c)) for c in names), _matrix(A.chunk(table, "sig"))
+
+
+def _candidates(percent: int, comp, k, mask, n, sig) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell that are candidates across groups and that no earlier node of depth 1 judges."""
+    found = []
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, len(n))
+        j = j[comp[j] != comp[i]]
+        for r in range(min(int(k[i]), len(_ROOTS))):
+            if mask[i] >> r & 1:
+                j = j[sig[j, _ROOTS[r]] != sig[i, _ROOTS[r]]]
+        if len(j):
+            _, good = _agreeing(percent, sig, n, np.full(len(j), i), j)
+            found.append(np.stack((np.full(int(good.sum()), i), j[good])))
+    return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    ``star``: the medoid of each cell with the others. Otherwise: every pair across groups. A pair
-    is a candidate if its sizes allow the similarity and its signatures agree well enough. With
-    ``star`` the medoid also comes out, as a pair of itself.
-    """
-    least = least_agreement(percent)
-
-    def pairs_of(cells: np.ndarray, size: int, ids, comp, n, sig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        i, j = np.triu_indices(size, 1)
-        for at in range(0, len(cells), max(1, 100_000 // len(i))):
-            rows = cells[at : at + max(1, 100_000 // len(i))]
-            a, b = (rows[:, None] + i).ravel(), (rows[:, None] + j).ravel()
-            if not star:
-                cross = comp[a] != comp[b]
-                a, b = a[cross], b[cross]
-            agree = np.zeros(len(a), np.int64)
-            for k in range(0, len(a), 50_000):
-                agree[k : k + 50_000] = (sig[a[k : k + 50_000]] == sig[b[k : k + 50_000]]).sum(axis=1)
-            good = (agree >= least) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-            if star:
-                score = np.zeros((len(rows), size))
-                np.add.at(score, (np.repeat(np.arange(len(rows)), len(i)), np.tile(i, len(rows))), agree)
-                np.add.at(score, (np.repeat(np.arange(len(rows)), len(i)), np.tile(j, len(rows))), agree)
-                hub = rows + score.argmax(axis=1)
-                good &= (a == np.repeat(hub, len(i))) | (b == np.repeat(hub, len(i)))
-                yield ids[hub], ids[hub]
-            yield np.minimum(ids[a[good]], ids[b[good]]), np.maximum(ids[a[good]], ids[b[good]])
-
-    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell, ids, comp, n = (A.long_values(table.column(c).combine_chunks()) for c in ("cell", "id", "comp", "n"))
-        sig = _matrix(table.column("sig").combine_chunks())
-        begin = np.flatnonzero(np.concatenate(([True], np.diff(cell) != 0)))
-        size = np.diff(np.append(begin, len(cell)))
-        for s in np.unique(size[size > 1]):
-            for a, b in pairs_of(begin[size == s], int(s), ids, comp, n, sig):
-                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if left is None else pa.concat_tables([left, table])
-            cell = A.long_values(table.column("cell").combine_chunks())
-            cut = int(np.searchsorted(cell, cell[-1], side="left"))
-            if cut:
-                yield from run(table.slice(0, cut).combine_chunks())
-            left = table.slice(cut)
-        if left is not None:
-            yield from run(left.combine_chunks())
 
-    return compare
+def hopeful_rows(percent: int):
+    """Work on one cell: its rows that have a candidate partner in it."""
 
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if table.num_rows > 1:
+            _, comp, k, mask, n, sig = _columns(table, "id", "comp", "k", "mask", "n")
+            i, j = _candidates(percent, comp, k, mask, n, sig)
+            if len(i):
+                yield from table.take(pa.array(np.unique(np.concatenate((i, j))))).to_batches()
 
-def _compared(cells: DataFrame, percent: int, star: bool) -> DataFrame:
-    dealt = cells.select("cell", "id", "comp", "n", "sig").repartition("cell").sortWithinPartitions("cell", "id")
-    return dealt.mapInArrow(compare_cells(percent, star), "a long, b long").distinct()
+    return work
+
+
+def linked_rows(percent: int):
+    """Work on one cell (with full sets): links that span the groups of linked documents in it."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, comp, k, mask, n, sig = _columns(table, "id", "comp", "k", "mask", "n")
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in A.chunk(table, "grams")]
+        _, group = np.unique(comp, return_inverse=True)
+        out: list[tuple[int, int]] = []
+        for i, j in zip(*_candidates(percent, comp, k, mask, n, sig), strict=True):
+            if group[i] != group[j] and similar(sets[i], sets[j], percent):
+                out.append((ids[i], ids[j]))
+                group[group == group[j]] = group[i]
+        if out:
+            a, b = np.array(out, np.int64).T
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return work
+
+
+def _by_cell(cells: DataFrame, work, kind: str, *columns: str) -> DataFrame:
+    return cells.select("cell", *columns).repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(A.by_key("cell", work), kind)
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,29 +266,35 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("id").slice(lo, hi - lo), raw], names=["id", "grams"])
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets, as sorted hashes, are similar enough."""
+    if not len(a) or not len(b):
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def linked(percent: int):
     """Arrow UDF: whether two sets, as sorted hashes, are similar enough."""
 
     @F.arrow_udf("boolean")
     def judge(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = np.zeros(len(left), bool)
-        for i, (x, y) in enumerate(zip(left, right, strict=True)):
-            a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            if len(a) and len(b):
-                both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
-                out[i] = 100 * both >= percent * (len(a) + len(b) - both)
-        return pa.array(out)
+        return pa.array([similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair), percent) for pair in zip(left, right, strict=True)], pa.bool_())
 
     return judge
 
 
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, grams of the documents (id, text) named by ``ids``."""
+    ids = scratch.materialize(ids.distinct(), "wanted")
+    return scratch.materialize(docs.join(scratch.small_side(ids), "id").mapInArrow(full_sets, "id long, grams binary"), "sets")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose full sets are similar enough; ``docs`` has id and text."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = scratch.materialize(ids, "pair_ids")
-    sets = scratch.materialize(docs.join(scratch.small_side(ids), "id").mapInArrow(full_sets, "id long, grams binary"), "sets")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs)
     rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    return scratch.materialize(rows.withColumn("ok", linked(percent)("ga", "gb")).filter("ok").select("a", "b").distinct(), "confirmed")
+    return scratch.materialize(rows.withColumn("ok", linked(percent)("ga", "gb")).filter("ok").select("a", "b"), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFrame:
@@ -270,47 +305,50 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> D
     reps = scratch.materialize(reps, "reps")
     texts = keyed.withColumnRenamed("doc", "id")
 
-    nodes = reps.mapInArrow(root_keys(range(trees)), "node long, id long")
+    nodes = reps.mapInArrow(root_keys(range(trees)), "node long, id long, k int")
     nodes = scratch.materialize(nodes, "nodes")
     sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
     sizes = scratch.materialize(sizes, "node_sizes")
     nodes = scratch.materialize(nodes.join(scratch.small_side(sizes), "node"), "shared_nodes")
     sigs = reps.select("id", "n", "sig")
 
-    first = reps.mapInArrow(root_keys(range(min(STAR_TREES, trees))), "node long, id long").join(scratch.small_side(sizes), "node")
+    first = reps.mapInArrow(root_keys(range(min(STAR_TREES, trees))), "node long, id long, k int").join(scratch.small_side(sizes), "node")
     blocks = F.ceil(F.col("size") / NODE_DOCS)
     first = first.withColumn("cell", F.xxhash64("node", F.pmod(F.xxhash64("id"), blocks)))
-    cells = first.join(sigs, "id").withColumn("comp", F.col("id"))
-    stars = scratch.materialize(_compared(cells, percent, star=True), "stars")
+    cells = first.join(sigs, "id")
+    stars = scratch.materialize(_by_cell(cells, star_pairs(percent), "a long, b long", "id", "n", "sig"), "stars")
     hubs = first.join(stars.filter("a = b").select(F.col("a").alias("id")), "id").filter(F.col("size") > NODE_DOCS)
     lead = hubs.groupBy("node").agg(F.min("id").alias("lead"))
     across = hubs.join(lead, "node").filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
     one = confirmed(scratch.materialize(stars.filter("a < b").unionByName(across).distinct(), "pairs"), texts, percent)
-    groups = scratch.materialize(components(one), "groups")
+    groups = components(one, rounds=GROUP_ROUNDS)
 
-    found = [one]
-    pairs = []
+    cells = []
     for depth in range(DEPTH):
-        labelled = nodes.join(scratch.small_side(groups), "id", "left").select("node", "id", F.coalesce("component", "id").alias("comp"))
-        labelled = scratch.materialize(labelled, "labelled")
-        state = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("node", "size")
-        state = scratch.materialize(state, "open_nodes")
-        alive = labelled.join(scratch.small_side(state), "node")
-        small = alive.filter(F.col("size") <= NODE_DOCS).withColumn("cell", F.col("node")).join(sigs, "id")
-        pairs.append(scratch.materialize(_compared(small, percent, star=False), "small_nodes"))
-        large = scratch.materialize(alive.filter(F.col("size") > NODE_DOCS), "large_nodes")
+        labelled = nodes.join(scratch.small_side(groups), "id", "left").select("node", "id", "k", F.coalesce("component", "id").alias("comp"))
+        state = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.approx_count_distinct("comp").alias("groups"))
+        state = scratch.materialize(state.filter("c1 < c2").select("node", "size", "groups"), "open_nodes")
+        alive = scratch.materialize(labelled.join(scratch.small_side(state), "node"), "alive")
+        small = alive.filter(F.col("size") <= NODE_DOCS)
+        cells.append(small.select(F.col("node").alias("cell"), "id", "comp", "k"))
+        if not depth:
+            masks = scratch.materialize(small.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask")), "masks")
+        large = alive.filter(F.col("size") > NODE_DOCS)
         if large.isEmpty():
             break
-        if depth == DEPTH - 1:
-            pairs.append(scratch.materialize(_compared(_grid(large).join(sigs, "id"), percent, star=False), "grid"))
-        else:
-            nodes = scratch.materialize(large.select("node", "id").join(sigs, "id").mapInArrow(child_keys, "node long, id long").distinct(), "nodes")
-    every = pairs[0]
-    for more in pairs[1:]:
+        few = F.col("groups") <= NODE_DOCS if depth < DEPTH - 1 else F.lit(True)
+        cells.append(_grid(large.filter(few)))
+        nodes = large.filter(~few).select("node", "id").join(sigs, "id").mapInArrow(child_keys, "node long, id long, k int")
+        nodes = scratch.materialize(nodes, "nodes")
+    every = cells[0]
+    for more in cells[1:]:
         every = every.unionByName(more)
-    every = scratch.materialize(every.distinct().join(one, ["a", "b"], "left_anti"), "pairs")
-    found.append(confirmed(every, texts, percent))
-    groups = scratch.materialize(components(found[0].unionByName(found[1])), "groups")
+    every = every.join(sigs, "id").join(masks, "id", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    columns = ("id", "comp", "k", "mask", "n", "sig")
+    hopeful = scratch.materialize(_by_cell(every, hopeful_rows(percent), CELL, *columns), "hopeful")
+    judged = hopeful.join(sets_of(hopeful.select("id"), texts), "id")
+    two = scratch.materialize(_by_cell(judged, linked_rows(percent), "a long, b long", *columns, "grams"), "linked")
+    groups = components(one.unionByName(two))
 
     classes = reps.select("h1", "h2", "id").join(groups, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     classes = scratch.materialize(classes, "classes")
@@ -336,7 +374,7 @@ def _grid(large: DataFrame) -> DataFrame:
     both = left.join(right, "node").filter("b1 <= b2 and not coalesce(p1 = p2, false)")
     both = both.withColumn("cell", F.xxhash64("node", "b1", "b2"))
     sides = both.select("node", "cell", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
-    return members.join(sides, ["node", "block"]).select("cell", "id", "comp")
+    return members.join(sides, ["node", "block"]).select("cell", "id", "comp", F.lit(len(_ROOTS)).alias("k"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFrame:
