@@ -182,78 +182,139 @@ def _agreeing(percent: int, sig: np.ndarray, n: np.ndarray, a: np.ndarray, b: np
     return agree, (agree >= least_agreement(percent)) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
 
 
-def star_pairs(percent: int):
-    """Work on one cell (id, n, sig): the medoid with each candidate partner, and with itself."""
-
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, n, sig = _columns(table, "id", "n")
-        if len(ids) < 2:
-            return
-        total = np.zeros(len(ids), np.int64)
-        for column in sig.T:
-            _, back, times = np.unique(column, return_inverse=True, return_counts=True)
-            total += times[back]
-        hub = int(np.lexsort((ids, -total))[0])
-        _, good = _agreeing(percent, sig, n, np.full(len(ids), hub), np.arange(len(ids)))
-        good[hub] = True
-        yield pa.record_batch([pa.array(np.minimum(ids[good], ids[hub])), pa.array(np.maximum(ids[good], ids[hub]))], names=["a", "b"])
+class Cells:
+    """Whole cells out of rows sorted by cell: columns as arrays, and where each cell begins and how many rows it has."""
 
-    return work
+    def __init__(self, table: pa.Table):
+        self.table = table
+        columns = [c for c in table.column_names if c not in ("sig", "grams")]
+        self.of = {c: A.long_values(A.chunk(table, c)) for c in columns}
+        self.sig = _matrix(A.chunk(table, "sig"))
+        cell = self.of["cell"]
+        self.begin = np.flatnonzero(np.concatenate(([True], np.diff(cell) != 0)))
+        self.size = np.diff(np.append(self.begin, len(cell)))
+
+    def pairs_of_two(self) -> tuple[np.ndarray, np.ndarray]:
+        first = self.begin[self.size == 2]
+        return first, first + 1
+
+    def larger(self) -> Iterator[np.ndarray]:
+        for lo, n in zip(self.begin[self.size > 2], self.size[self.size > 2], strict=True):
+            yield np.arange(lo, lo + n)
+
+
+def over_cells(work):
+    """mapInArrow function over rows sorted by cell: calls ``work`` with the whole cells at hand; one cell waits at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if left is None else pa.concat_tables([left, table])
+            cell = A.long_values(A.chunk(table, "cell"))
+            cut = int(np.flatnonzero(cell == cell[-1])[0])
+            if cut:
+                yield from work(Cells(table.slice(0, cut)))
+            left = table.slice(cut).combine_chunks()
+        if left is not None:
+            yield from work(Cells(left))
+
+    return run
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _columns(table: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
-    return *(A.long_values(A.chunk(table, c)) for c in names), _matrix(A.chunk(table, "sig"))
+def star_pairs(percent: int):
+    """Work on cells (id, n, sig): each cell's medoid with its candidate partners, and with itself."""
+
+    def work(cells: Cells) -> Iterator[pa.RecordBatch]:
+        ids, n, sig = cells.of["id"], cells.of["n"], cells.sig
+        first, second = cells.pairs_of_two()
+        _, good = _agreeing(percent, sig, n, first, second)
+        yield _pair_batch(ids[first[good]], ids[second[good]])
+        for rows in cells.larger():
+            own = sig[rows]
+            total = np.zeros(len(rows), np.int64)
+            for lo in range(0, len(rows), 64):
+                total[lo : lo + 64] = (own[lo : lo + 64, None] == own).sum(axis=(1, 2))
+            hub = rows[int(np.lexsort((ids[rows], -total))[0])]
+            _, good = _agreeing(percent, sig, n, np.full(len(rows), hub), rows)
+            good[rows == hub] = True
+            yield _pair_batch(ids[rows[good]], np.full(int(good.sum()), ids[hub]))
+
+    return work
 
 
-def _candidates(percent: int, comp, k, mask, n, sig) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one cell that are candidates across groups and that no earlier node of depth 1 judges."""
-    found = []
-    for i in range(len(n) - 1):
-        j = np.arange(i + 1, len(n))
-        j = j[comp[j] != comp[i]]
-        for r in range(min(int(k[i]), len(_ROOTS))):
-            if mask[i] >> r & 1:
-                j = j[sig[j, _ROOTS[r]] != sig[i, _ROOTS[r]]]
-        if len(j):
-            _, good = _agreeing(percent, sig, n, np.full(len(j), i), j)
-            found.append(np.stack((np.full(int(good.sum()), i), j[good])))
-    return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def _unjudged(cells: Cells, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs of rows of a cell are of two groups and no earlier node of depth 1 judges them."""
+    comp, k, mask = (cells.of[c] for c in ("comp", "k", "mask"))
+    free = comp[i] != comp[j]
+    for r, root in enumerate(_ROOTS):
+        free &= ~((k[i] > r) & (mask[i] >> r & 1 > 0) & (cells.sig[i, root] == cells.sig[j, root]))
+    return free
+
+
+def _candidates(percent: int, cells: Cells) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that are candidates: those of all cells of two rows, then those of each larger cell."""
+    n = cells.of["n"]
+    i, j = cells.pairs_of_two()
+    free = _unjudged(cells, i, j)
+    i, j = i[free], j[free]
+    _, good = _agreeing(percent, cells.sig, n, i, j)
+    yield i[good], j[good]
+    for rows in cells.larger():
+        step = max(1, 40_000 // len(rows))
+        found = []
+        for lo in range(0, len(rows) - 1, step):
+            i, j = np.nonzero(np.arange(len(rows)) > np.arange(lo, min(lo + step, len(rows)))[:, None])
+            i, j = rows[i + lo], rows[j]
+            free = _unjudged(cells, i, j)
+            i, j = i[free], j[free]
+            _, good = _agreeing(percent, cells.sig, n, i, j)
+            found.append((i[good], j[good]))
+        yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def hopeful_rows(percent: int):
-    """Work on one cell: its rows that have a candidate partner in it."""
+    """Work on cells: their rows that have a candidate partner in the cell."""
 
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if table.num_rows > 1:
-            _, comp, k, mask, n, sig = _columns(table, "id", "comp", "k", "mask", "n")
-            i, j = _candidates(percent, comp, k, mask, n, sig)
-            if len(i):
-                yield from table.take(pa.array(np.unique(np.concatenate((i, j))))).to_batches()
+    def work(cells: Cells) -> Iterator[pa.RecordBatch]:
+        rows = np.unique(np.concatenate([x for pair in _candidates(percent, cells) for x in pair]))
+        yield from cells.table.take(pa.array(rows)).combine_chunks().to_batches()
 
     return work
 
 
 def linked_rows(percent: int):
-    """Work on one cell (with full sets): links that span the groups of linked documents in it."""
-
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, comp, k, mask, n, sig = _columns(table, "id", "comp", "k", "mask", "n")
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in A.chunk(table, "grams")]
-        _, group = np.unique(comp, return_inverse=True)
-        out: list[tuple[int, int]] = []
-        for i, j in zip(*_candidates(percent, comp, k, mask, n, sig), strict=True):
-            if group[i] != group[j] and similar(sets[i], sets[j], percent):
-                out.append((ids[i], ids[j]))
-                group[group == group[j]] = group[i]
-        if out:
-            a, b = np.array(out, np.int64).T
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+    """Work on cells (with full sets): links that span the groups of linked documents in each."""
+
+    def work(cells: Cells) -> Iterator[pa.RecordBatch]:
+        ids, grams = cells.of["id"], A.chunk(cells.table, "grams")
+        group = cells.of["comp"].copy()
+        a, b = [], []
+        sets: dict[int, np.ndarray] = {}
+        for i, j in _candidates(percent, cells):
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                for z in (x, y):
+                    if z not in sets:
+                        sets[z] = np.frombuffer(grams[z].as_buffer(), np.uint64)
+                if group[x] != group[y] and similar(sets[x], sets[y], percent):
+                    a.append(x)
+                    b.append(y)
+                    at = np.searchsorted(cells.begin, x, side="right") - 1
+                    own = group[cells.begin[at] : cells.begin[at] + cells.size[at]]
+                    own[own == group[y]] = group[x]
+        yield _pair_batch(ids[np.array(a, np.int64)], ids[np.array(b, np.int64)])
 
     return work
 
 
 def _by_cell(cells: DataFrame, work, kind: str, *columns: str) -> DataFrame:
-    return cells.select("cell", *columns).repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(A.by_key("cell", work), kind)
+    return cells.select("cell", *columns).repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(over_cells(work), kind)
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
