@@ -85,7 +85,7 @@ def test_duplicate_seeds_keep_their_clusters(spark):
 def test_reports(spark):
     rows = frame(spark, np.random.default_rng(4).random((60, 3)))
     assigned = clustering.assign(rows, clustering.seeds(rows, 4))
-    assert evaluate.worker_loads([5, 9, 4, 4], 2) == [9, 13] and sum(r["load"] for r in evaluate.worker_load(assigned, 3).collect()) == 60
+    assert evaluate.worker_loads([5, 9, 4, 4], 2) == [13, 9] and sum(r["load"] for r in evaluate.worker_load(assigned, 3).collect()) == 60
     assert [r["size_rank"] for r in clustering.clusters_by_size(assigned).orderBy("size_rank").collect()] == [1, 2, 3, 4]
     truth = knn.all_to_all(rows, 5)
     assert evaluate.bench_knn(rows, rows, knn.knn_search(rows, rows, 5), 5).count() == 2
