@@ -14,7 +14,8 @@ with a reversible template and marks the loss spans; ``read_back`` parses the re
 Defined results: a null text is empty; a null role is an empty role; a null ``seq`` sorts first; a
 null ``conv_id`` is one conversation of its own; events that tie in ``seq`` apply by (kind, role,
 text); a repeated ``message`` row opens one message each; a ``delta``, ``edit`` or ``regenerate``
-without an opened message opens one; other input columns are ignored; an empty log gives no rows.
+before the first message of its id opens one of its own; other input columns are ignored; an empty
+log gives no rows.
 
 A conversation ends up in one row since its rendering is one string. Messages are folded first,
 keyed by conversation and message, so that a long stream of deltas is spread over tasks.
@@ -53,7 +54,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("conv_id", "msg").orderBy(F.asc_nulls_first("seq"), "kind_rank", F.asc_nulls_first("role"), "text")
     log = log.withColumn("ord", F.row_number().over(order))
-    log = log.withColumn("part", F.greatest(F.lit(1), F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(order)))
+    opened = F.sum(F.when(F.col("opens"), 1).otherwise(0))
+    log = log.withColumn("part", opened.over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     step = F.struct("ord", (F.col("kind_rank") < 3).alias("resets"), "text")
     folded = log.groupBy("conv_id", "msg", "part").agg(
         F.min(F.struct(F.col("ord"), F.col("seq"))).getField("seq").alias("pos"),

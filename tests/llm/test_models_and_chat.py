@@ -4,6 +4,7 @@ import itertools
 import math
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +143,23 @@ def test_chat_nulls(spark):
     assert got == {1: [("user", ""), ("", "x"), ("", "x")], None: [("assistant", "é日")]}
 
 
+def test_chat_query_with_repeated_turns_equals_sql(spark, tmp_path):
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "a # <b> \\e"), (1, None, "system", None), (2, 5, None, "x"), (2, 5, "assistant", ""), (2, 5, "assistant", ""), (3, 0, "assistant", "é日" * 3000), (4, None, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    expected = con.execute(sql.ORACLES["op7_chat_formatting"])
+    names = [c[0] for c in expected.description]
+    got = queries.op7_chat_formatting(spark, str(tmp_path)).select(names).collect()
+    assert sorted(map(tuple, got)) == sorted(expected.fetchall())
+
+
+def test_chat_ignores_clashing_names(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "hi", 9, "x", 3), (1, 1, "assistant", "yo", 8, "y", 2)], "conv_id long, turn long, role string, text string, ord long, part string, seq long")
+    back = chat_formatting.read_back(chat_formatting.render(chat_formatting.fold_events(chat_formatting.events_of_turns(rows)))).first()
+    assert [(t["role"], t["text"]) for t in back["turns"]] == [("user", "hi"), ("assistant", "yo")] and back["loss_text"] == "yo"
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counts = [docs.count()]
