@@ -13,8 +13,13 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch of whole texts.
+TEXT_ROWS = 2000
 _own: dict[str, str] = {}
 
 
@@ -34,11 +39,20 @@ def root(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/nearfield-{app}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to a fresh folder and return a frame that reads it."""
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write a frame to a fresh folder and return a frame that reads it.
+
+    ``batch_rows`` bounds the rows of an Arrow batch in this write, for steps that hand whole texts to Python.
+    """
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH)
+    if batch_rows is not None:
+        spark.conf.set(BATCH, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,10 +68,30 @@ def size_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-#: A side of a join is broadcast only if its measured files are at most this large.
+def _beyond(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value outside its own eight-byte slot."""
+    none = F.lit(0).cast("long")
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value).cast("long"), none)
+    if isinstance(kind, T.StructType):
+        return sum((_beyond(value[f.name], f.dataType) for f in kind.fields), F.lit(8 + 8 * len(kind.fields)).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(value, none, lambda total, x: total + 8 + _beyond(x, kind.elementType)), none)
+    return none
+
+
+def memory_bytes(df: DataFrame) -> int:
+    """Bytes of a frame's rows in a hash table, counted over the frame in one job."""
+    width = sum((_beyond(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(32 + 8 * len(df.columns)).cast("long"))
+    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+
+
+#: A side of a join is broadcast only if its rows take at most this much memory.
 BROADCAST_BYTES = 8 << 20
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """Hint a broadcast of a materialized frame if its files are small; beyond that the join shuffles."""
-    return df.hint("broadcast") if size_bytes(df) <= BROADCAST_BYTES else df
+    """Hint a broadcast of a materialized frame if its rows are measured to be small in memory; beyond that the join shuffles, and AQE splits hot keys."""
+    if size_bytes(df) <= BROADCAST_BYTES and memory_bytes(df) <= BROADCAST_BYTES:
+        return df.hint("broadcast")
+    return df.hint("merge")
