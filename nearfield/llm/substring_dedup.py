@@ -9,14 +9,18 @@ inside it, its anchor, which depends on the window's words alone. Consecutive wi
 anchor form a block, so a text of n words has about n/18 blocks and equal passages have equal blocks
 but for their two ends. The index has each distinct block with the smallest doc_id that holds it.
 
-The parse. A document is factored left to right against all blocks of the index: a block that a
-smaller document holds is copied whole and extends the factor at hand; any other block whose anchor
-occurs in another document lies at a factor's boundary, and there its windows are looked up one by
-one among the windows of all distinct blocks with that anchor. A factor is a maximal run of found
-windows, at least ``length`` words long, and is a duplicate span. Factors that meet or overlap, from
-whatever references, are all found since no window is skipped.
-
-Each lookup is an aggregation to the smallest doc_id per key, combined before the shuffle, and an
+The parse. Every place of a document that may continue a copy is looked up in the index: a block that
+a smaller document holds has its reference there (document, text and place); any other block whose
+anchor occurs in another document lies at a factor's boundary, and there its windows are looked up
+one by one among the windows of all distinct blocks with that anchor. Then the document is factored
+greedily from left to right: a factor begins at the first place with a reference and goes on for as
+long as the next place's reference is the next place of the same reference text; where that ends, the
+next factor begins, one word further on, with a reference of its own. A factor (start, length, doc,
+th, at) is thus a copy of ``length`` words or more from one place of one smaller document, and is a
+duplicate span; shorter copies are literals. Since the windows at factor boundaries are looked up,
+too, factors overlap there and no window is skipped, whatever reference it comes from.
+
+Each lookup is an aggregation to the smallest reference per key, combined before the shuffle, and an
 equi-join back: no pairs of documents are made, so a passage in very many documents costs one row
 per block and document. Keys are two 64-bit hashes (anchor, and block or window).
 
@@ -43,7 +47,8 @@ ANCHOR_WORDS = 16
 LAST_ID = 2**63 - 1
 DOC = ["doc", "th"]
 BLOCK = "doc long, th long, a long, b long, start int, n int"
-PROBE = "a long, b long, doc long, j int, w long"
+PROBE = "a long, b long, doc long, th long, j int, at int, w long"
+FACTORS = "doc long, th long, factors array<struct<start: int, length: int, doc: long, th: long, at: int>>"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -89,7 +94,7 @@ def block_table(length: int):
 
 
 def window_table(length: int):
-    """mapInArrow function: a, b, doc, j, w for each window of the listed blocks of a text."""
+    """mapInArrow function: a, b, doc, th, j (place in the block), at (place in the text), w for each window of the listed blocks of a text."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +105,7 @@ def window_table(length: int):
             counts = lists.value_lengths().to_numpy(zero_copy_only=False)
             flat = lists.flatten()
             a, b, start, n = (A.long_values(flat.field(k)) for k in range(4))
-            doc = A.long_values(batch.column("doc"))
+            doc, th = (A.long_values(batch.column(c)) for c in DOC)
             upto = np.concatenate(([0], np.cumsum(counts)))
             for lo, hi in tb.steps(offsets):
                 part = data[offsets[lo] : offsets[hi]]
@@ -114,46 +119,82 @@ def window_table(length: int):
                 place = np.repeat(first[whose] + start[own], size) + j
                 w = tb.Runs(tb.word_hashes(part, starts, ends)).hashes(place, place + length)
                 yield pa.record_batch(
-                    [pa.array(np.repeat(a[own], size)), pa.array(np.repeat(b[own], size)), pa.array(np.repeat(doc[lo + whose], size)), pa.array(j.astype(np.int32)), _signed(w)],
-                    names=["a", "b", "doc", "j", "w"],
+                    [*(pa.array(np.repeat(x, size)) for x in (a[own], b[own], doc[lo + whose], th[lo + whose])), pa.array(j.astype(np.int32)), pa.array((np.repeat(start[own], size) + j).astype(np.int32)), _signed(w)],
+                    names=["a", "b", "doc", "th", "j", "at", "w"],
                 )
 
     return windows
 
 
-def duplicate_runs(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
-    """doc, th, runs: for each document with duplicate windows, runs of them as (start, n) in words."""
+def references(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
+    """doc, th, start, n, ref: runs of n windows of a document from ``start`` on, and the place in a smaller document that they copy."""
     keyed = _keyed(docs)
-    blocks = scratch.materialize(keyed.filter("text is not null").mapInArrow(block_table(length), BLOCK), "blocks")
-    seen = blocks.groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("b").alias("b1"), F.max("b").alias("b2"))
-    shared = scratch.materialize(seen.filter("lo < hi").select("a", "lo", (F.col("b1") != F.col("b2")).alias("mixed")), "anchors")
+    blocks = scratch.materialize(keyed.filter("text is not null").mapInArrow(A.frugal(block_table(length)), BLOCK), "blocks", scratch.TEXT_ROWS)
+    place = F.struct(*DOC, F.col("start").alias("at"))
+    seen = blocks.groupBy("a").agg(F.min(place).alias("first"), F.max("doc").alias("hi"), F.min("b").alias("b1"), F.max("b").alias("b2"))
+    shared = scratch.materialize(seen.filter("first.doc < hi").select("a", "first", (F.col("b1") != F.col("b2")).alias("mixed")), "anchors")
     found = scratch.materialize(blocks.join(scratch.small_side(shared), "a"), "found_blocks")
-    whole = found.filter(~F.col("mixed") & (F.col("doc") > F.col("lo"))).select(*DOC, "start", "n")
-    mixed = found.filter("mixed").drop("mixed", "lo")
-    index = scratch.materialize(mixed.groupBy("a", "b").agg(F.min(F.struct(*DOC, "start", "n")).alias("r")), "index")
-    listed = index.groupBy(F.col("r.doc").alias("doc"), F.col("r.th").alias("th")).agg(F.collect_list(F.struct("a", "b", "r.start", "r.n")).alias("blocks"))
+    whole = found.filter(~F.col("mixed") & (F.col("doc") > F.col("first.doc"))).select(*DOC, "start", "n", F.col("first").alias("ref"))
+    mixed = found.filter("mixed").drop("mixed", "first")
+    index = scratch.materialize(mixed.groupBy("a", "b").agg(F.min(F.struct(*DOC, F.col("start").alias("at"), "n")).alias("r")), "index")
+    listed = index.groupBy(F.col("r.doc").alias("doc"), F.col("r.th").alias("th")).agg(F.collect_list(F.struct("a", "b", F.col("r.at").alias("start"), "r.n")).alias("blocks"))
     listed = scratch.materialize(listed, "listed")
-    probes = keyed.join(scratch.small_side(listed), DOC).select("doc", "text", "blocks").mapInArrow(window_table(length), PROBE)
-    probes = scratch.materialize(probes, "probes")
-    least = probes.groupBy("a", "w").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("a", "w", "lo")
-    ends = probes.join(least, ["a", "w"]).filter("lo < doc").groupBy("a", "b").agg(F.collect_set("j").alias("js"))
-    held = mixed.join(scratch.small_side(index.select("a", "b", F.col("r.doc").alias("m"))), ["a", "b"])
-    held = held.join(scratch.small_side(scratch.materialize(ends, "ends")), ["a", "b"], "left")
-    copied = held.filter("doc > m").select(*DOC, "start", "n")
-    edges = held.filter("doc = m and js is not null").select(*DOC, F.explode("js").alias("j"), "start").select(*DOC, (F.col("start") + F.col("j")).alias("start"), F.lit(1).alias("n"))
-    runs = whole.unionByName(copied).unionByName(edges)
-    return scratch.materialize(runs.groupBy(*DOC).agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs")
-
-
-def cut(length: int):
-    """Arrow UDF: text and runs to n_words, n_removed and the kept words joined by one space."""
+    probes = keyed.join(scratch.small_side(listed), DOC).select(*DOC, "text", "blocks").mapInArrow(A.frugal(window_table(length)), PROBE)
+    probes = scratch.materialize(probes, "probes", scratch.TEXT_ROWS)
+    least = probes.groupBy("a", "w").agg(F.min(F.struct(*DOC, "at")).alias("ref"), F.max("doc").alias("hi")).filter("ref.doc < hi").select("a", "w", "ref")
+    ends = probes.select("a", "b", "doc", "j", "w").join(least, ["a", "w"]).filter("ref.doc < doc").groupBy("a", "b").agg(F.collect_list(F.struct("j", "ref")).alias("ends"))
+    held = mixed.join(scratch.small_side(scratch.materialize(index.select("a", "b", F.struct("r.doc", "r.th", "r.at").alias("m")), "places")), ["a", "b"])
+    held = scratch.materialize(held.join(scratch.small_side(scratch.materialize(ends, "ends")), ["a", "b"], "left"), "held")
+    copied = held.filter("doc > m.doc").select(*DOC, "start", "n", F.col("m").alias("ref"))
+    edges = held.filter("doc = m.doc and ends is not null").select(*DOC, "start", F.explode("ends").alias("e"))
+    edges = edges.select(*DOC, (F.col("start") + F.col("e.j")).alias("start"), F.lit(1).alias("n"), F.col("e.ref").alias("ref"))
+    return whole.unionByName(copied).unionByName(edges)
+
+
+def parse(length: int):
+    """mapInArrow function: the greedy factors of each document from its referenced places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("places")
+            flat = lists.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            start, n = (A.long_values(flat.field(k)) for k in range(2))
+            doc, th, at = (A.long_values(flat.field(2).field(k)) for k in range(3))
+            goes_on = np.zeros(len(owner), bool)
+            end = start + n
+            goes_on[1:] = (owner[1:] == owner[:-1]) & (start[1:] == end[:-1]) & (doc[1:] == doc[:-1]) & (th[1:] == th[:-1]) & (at[1:] == at[:-1] + n[:-1])
+            first = np.flatnonzero(~goes_on)
+            last = np.append(first[1:], len(owner)) - 1
+            size = end[last] - start[first] + length - 1
+            parts = [pa.array(x.astype(np.int32)) for x in (start[first], size)] + [pa.array(doc[first]), pa.array(th[first]), pa.array(at[first].astype(np.int32))]
+            factors = pa.StructArray.from_arrays(parts, ["start", "length", "doc", "th", "at"])
+            yield pa.record_batch([batch.column("doc"), batch.column("th"), tb.list_array(np.bincount(owner[first], minlength=batch.num_rows), factors)], names=["doc", "th", "factors"])
+
+    return run
+
+
+def factors(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
+    """doc, th, factors: the duplicate factors of each document that has any, left to right, as (start, length, doc, th, at) in words.
+
+    ``doc`` is the doc_id (null: the largest), ``th`` the text's hash; a factor's own doc, th and at
+    name its reference.
+    """
+    places = references(docs, length).groupBy(*DOC).agg(F.sort_array(F.collect_set(F.struct("start", "n", "ref"))).alias("places"))
+    return scratch.materialize(places.mapInArrow(A.frugal(parse(length)), FACTORS), "factors")
+
+
+def cut():
+    """Arrow UDF: text and factors to n_words, n_removed and the kept words joined by one space."""
     kind = "struct<n_words: bigint, n_removed: bigint, kept: string>"
 
     @F.arrow_udf(kind)
-    def kept(text: pa.Array, runs: pa.Array) -> pa.Array:
+    def kept(text: pa.Array, spans: pa.Array) -> pa.Array:
         data, offsets = tb.as_bytes(text)
-        counts = runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        flat = runs.flatten()
+        counts = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = spans.flatten()
         start, n = (A.long_values(flat.field(k)) for k in range(2))
         upto = np.concatenate(([0], np.cumsum(counts)))
         out: list[pa.Array] = []
@@ -164,14 +205,16 @@ def cut(length: int):
             own = slice(upto[lo], upto[hi])
             begin = np.repeat(first[:-1], counts[lo:hi]) + start[own]
             np.add.at(change, begin, 1)
-            np.add.at(change, begin + n[own] + length - 1, -1)
+            np.add.at(change, begin + n[own], -1)
             gone = np.cumsum(change)[:-1] > 0
             owner = np.repeat(np.arange(hi - lo), np.diff(first))
             removed = np.bincount(owner[gone], minlength=hi - lo)
             left = tb.text_array(part, starts[~gone], ends[~gone], owner[~gone], hi - lo)
             out.append(pa.StructArray.from_arrays([pa.array(np.diff(first)), pa.array(removed.astype(np.int64)), left], ["n_words", "n_removed", "kept"]))
         fields = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-        return pa.concat_arrays([x.cast(fields) for x in out]) if out else pa.array([], fields)
+        found = pa.concat_arrays([x.cast(fields) for x in out]) if out else pa.array([], fields)
+        A.give_back()
+        return found
 
     return kept
 
@@ -181,8 +224,8 @@ def substring_dedup(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
 
     ``dedup`` replaces an input column of that name.
     """
-    runs = duplicate_runs(docs.select("doc_id", "text"), length)
+    found = factors(docs.select("doc_id", "text"), length)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64("text").alias("th"))
-    rows = rows.join(scratch.small_side(runs), DOC, "left").withColumn("cut", cut(length)(F.col("row.text"), F.col("runs")))
+    rows = rows.join(scratch.small_side(found), DOC, "left").withColumn("cut", cut()(F.col("row.text"), F.col("factors")))
     own = [F.col("cut.kept").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "dedup"]
     return rows.select(*own, F.struct("cut.n_words", "cut.n_removed", "cut.kept").alias("dedup"))

@@ -124,10 +124,12 @@ def test_near_duplicates(spark, rows, percent=85):
         assert kept.columns == frame(spark, rows).columns and kept.count() == len(once) + sum(not s for s in sets)
 
 
-@pytest.mark.parametrize("limit", [4])
-def test_large_nodes_branch_and_grid(spark, limit, monkeypatch):
-    """Nodes far above the limit, of near copies and of texts that only share a beginning, give the same groups."""
+@pytest.mark.parametrize(("limit", "block", "rest"), [(4, 8, 1000), (4, 16, 3), (8, 4, 20)])
+def test_large_nodes_branch_and_grid(spark, limit, block, rest, monkeypatch):
+    """Nodes far above the limits, of near copies and of texts that only share a beginning, give the same groups: by blocks, and by medoids and branching."""
     monkeypatch.setattr(minhash_dedup, "NODE_DOCS", limit)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_DOCS", block)
+    monkeypatch.setattr(minhash_dedup, "MOST_REST", rest)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -167,6 +169,33 @@ def test_substring_dedup(spark, rows):
     assert {r["th"] for r in got.collect()} == {"mine"}
 
 
+def test_factors_are_greedy_copies(spark, rows):
+    """Every factor is a copy of 50 words or more of the named place, cannot go on there unless the next place has a smaller reference, and all duplicate windows are in factors."""
+    docs = frame(spark, rows)
+    texts = {}
+    for r in docs.select(F.coalesce("doc_id", F.lit(substring_dedup.LAST_ID)).alias("doc"), F.xxhash64("text").alias("th"), "text").collect():
+        texts[r["doc"], r["th"]] = words(r["text"])
+    starts = {}
+    for (doc, th), w in texts.items():
+        for k in range(len(w) - 49):
+            starts.setdefault(tuple(w[k : k + 50]), set()).add(doc)
+    found = {(r["doc"], r["th"]): r["factors"] for r in substring_dedup.factors(docs).collect()}
+    for key, w in texts.items():
+        covered = set()
+        own = found.get(key, [])
+        assert [f["start"] for f in own] == sorted({f["start"] for f in own})
+        for f, after in zip(own, [*own, None][1:], strict=True):
+            source = texts[f["doc"], f["th"]]
+            assert f["length"] >= 50 and f["doc"] < key[0]
+            assert w[f["start"] : f["start"] + f["length"]] == source[f["at"] : f["at"] + f["length"]]
+            windows = range(f["start"], f["start"] + f["length"] - 49)
+            assert covered.isdisjoint(windows)
+            covered.update(windows)
+            if after is not None and after["start"] == windows.stop:
+                assert (after["doc"], after["th"], after["at"]) != (f["doc"], f["th"], f["at"] + len(windows))
+        assert covered == {k for k in range(len(w) - 49) if min(starts[tuple(w[k : k + 50])]) < key[0]}
+
+
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
@@ -259,7 +288,7 @@ def test_ranks_are_dealt_by_salt(spark, monkeypatch):
 
 
 def test_mixing(spark, rows):
-    got = mixing.mix_documents(frame(spark, rows)).collect()
+    got = mixing.mix_documents(frame(spark, rows)).drop("key").collect()
     sizes = Counter()
     for r in rows:
         sizes[r[3]] += len(words(r[1]))
@@ -284,7 +313,7 @@ def test_mixing(spark, rows):
         largest[r["source"]] = max(largest[r["source"]], r["size"])
     for s in names:
         assert abs(taken[s] - target[s]) <= largest[s]
-    again = mixing.mix_documents(frame(spark, rows).repartition(5)).collect()
+    again = mixing.mix_documents(frame(spark, rows).repartition(5)).drop("key").collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     out = mixing.take_mix(frame(spark, rows).withColumn("size", F.lit("mine")).withColumn("copies", F.lit(0)))
     assert out.columns[-2:] == ["size", "copies"]
@@ -292,6 +321,25 @@ def test_mixing(spark, rows):
         assert sum(len(words(r["text"])) for r in out.collect()) == sum(taken.values())
 
 
+def test_unequal_probabilities(spark):
+    """Inclusion odds follow the weights; sizes stay fixed; whole copies are certain; null ids have random numbers of their own."""
+    rows = [(None if i % 40 == 0 else i, f"{i % 2}", 10, 1.0 + 3 * (i % 4 == 0)) for i in range(4000)]
+    sized = spark.createDataFrame([(d, str(d) if d is not None else f"null {i}", s, z, w) for i, (d, s, z, w) in enumerate(rows)], "doc_id long, key string, source string, size long, w double")
+    targets = spark.createDataFrame([("0", 20_000, 8_000.0), ("1", 20_000, 25_000.0)], "source string, source_size long, target double")
+    first = mixing.pareto_mix(sized, targets, weight_col="w").collect()
+    words_of = Counter()
+    share = defaultdict(list)
+    for r in first:
+        words_of[r["source"]] += r["taken"]
+        share[r["source"], r["w"]].append(r["copies"])
+        assert r["taken"] == r["copies"] * r["size"]
+    assert abs(words_of["0"] - 8_000) <= 10 and abs(words_of["1"] - 25_000) <= 10
+    assert 3.2 < np.mean(share["0", 4.0]) / np.mean(share["0", 1.0]) < 4.8
+    assert min(share["1", 1.0]) == 1 and max(share["1", 1.0]) == 2
+    nulls = [r["copies"] for r in first if r["doc_id"] is None]
+    assert 0 < np.mean(nulls) < max(nulls)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert line_dedup.line_dedup(empty).count() == 0
