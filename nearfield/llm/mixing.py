@@ -13,7 +13,7 @@ target is ordered row by row.
 
 Defined results: a null or empty text has size 0 and is never taken (taken 0); a source without
 words has target 0; the null source is a source, last in order; repeated rows are documents of their
-own that share a random number; an empty table gives no rows; other columns are ignored.
+own that share a random number; a null doc_id's random number comes from its text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What a document's random number depends on: its doc_id, or its text where that is null."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null "), F.coalesce(F.md5(text), F.lit(""))))
+
+
 def uniform(key: Column, seed: str = "") -> Column:
     """52 bits of MD5 as a number strictly between 0 and 1."""
     digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13)
@@ -65,21 +70,22 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
 
 
 def pareto_mix(sized: DataFrame, targets: DataFrame, max_repeats: int = 3, weight_col: str | None = None, seed: str = "") -> DataFrame:
-    """Rows of ``sized`` (doc_id, source, size) with source_size, target, copies and taken = copies * size.
+    """Rows of ``sized`` (doc_id, key, source, size) with source_size, target, copies and taken = copies * size.
 
     With ``weight_col`` (positive; null counts as 1) expected copies are proportional to it within a
     source, stopped at ``max_repeats``; a source then falls short of its target only where every
-    document with inclusion odds is taken. ``targets`` has one row per source; the planner picks the
-    join by measured size.
+    document with inclusion odds is taken. ``targets`` has one row per source, and the sums by bin at
+    most RANK_BINS; either is broadcast if it is measured to be small.
     """
     weight = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0))
     rows = sized.withColumn("_w", weight)
     mass = rows.groupBy("source").agg(F.sum(F.col("_w") * F.col("size")).alias("_mass"))
     t = targets.join(mass.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_source")
+    t = scratch.small_side(scratch.materialize(t, "targets_and_mass"))
     rows = rows.join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     expected = F.when((F.col("size") > 0) & (F.col("_mass") > 0), F.least(F.lit(float(max_repeats)), F.col("_w") * F.col("target") / F.col("_mass"))).otherwise(0.0)
     rows = rows.withColumn("_e", expected).withColumn("_whole", F.floor("_e").cast("long")).withColumn("_p", F.col("_e") - F.col("_whole"))
-    u = uniform(F.col("doc_id"), seed)
+    u = uniform(F.col("key"), seed)
     odds = (u / (1 - u)) * ((1 - F.col("_p")) / F.col("_p"))
     rows = rows.withColumn("_key", F.when(F.col("_p") > 0, odds / (1 + odds)))
     rows = rows.withColumn("_bin", F.least(F.lit(RANK_BINS - 1), F.floor(F.col("_key") * RANK_BINS)).cast("int"))
@@ -89,10 +95,11 @@ def pareto_mix(sized: DataFrame, targets: DataFrame, max_repeats: int = 3, weigh
     by_bin = by_bin.select(
         F.col("source").alias("_bs"), F.col("_bin").alias("_bb"), (F.sum("_words").over(upto) - F.col("_words")).alias("_from"), F.sum("_words").over(upto).alias("_to"), (F.col("_t") - F.sum("_sure").over(in_source)).alias("_rest"),
     )
+    by_bin = scratch.small_side(scratch.materialize(by_bin, "bins"))
     rows = rows.join(by_bin, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("_bin") == F.col("_bb")), "left")
     sure = F.col("_to") <= F.col("_rest")
     edge = (F.col("_from") < F.col("_rest")) & (F.col("_to") > F.col("_rest"))
-    place = Window.partitionBy("source", "_bin").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = Window.partitionBy("source", "_bin").orderBy("_key", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_state", F.when(F.col("_key").isNull(), 0).when(sure, 1).when(edge, 2).otherwise(0))
     clear = rows.filter(F.col("_state") != 2).withColumn("_extra", F.col("_state"))
     ends = F.col("_from") + F.sum("size").over(place)
@@ -103,12 +110,12 @@ def pareto_mix(sized: DataFrame, targets: DataFrame, max_repeats: int = 3, weigh
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size of every document, written once: texts are read a single time."""
-    return scratch.materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
+    """doc_id, key, source, size of every document, written once: texts are read a single time."""
+    return scratch.materialize(docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "source", word_count(F.col("text")).alias("size")), "sized")
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeats: int = 3, seed: str = "") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every document."""
+    """doc_id, key, source, size, source_size, target, copies, taken for every document."""
     sized = sized_documents(docs)
     targets = scratch.materialize(source_targets(sized, weights, share, max_repeats), "targets")
     return pareto_mix(sized, targets, max_repeats, seed=seed)
@@ -117,13 +124,13 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share:
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeats: int = 3, seed: str = "") -> DataFrame:
     """Rows of ``docs``, each as often as the mix takes it, with their own columns.
 
-    Rows are matched by doc_id, source and size; those that agree in all three share a random number
-    and are taken alike, as often as the one of them that is taken most.
+    Rows are matched by doc_id (or text, where that is null), source and size; those that agree in all
+    three share a random number and are taken alike, as often as the one of them that is taken most.
     """
     mixed = mix_documents(docs.select("doc_id", "source", "text"), weights, share, max_repeats, seed)
-    copies = mixed.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    copies = scratch.materialize(copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies"), "copies")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("d"), F.col("source").alias("s"), word_count(F.col("text")).alias("z"))
-    same = F.col("d").eqNullSafe(F.col("_d")) & F.col("s").eqNullSafe(F.col("_s")) & (F.col("z") == F.col("_z"))
+    copies = mixed.groupBy("key", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    copies = scratch.materialize(copies.select(F.col("key").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies"), "copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("d"), F.col("source").alias("s"), word_count(F.col("text")).alias("z"))
+    same = (F.col("d") == F.col("_d")) & F.col("s").eqNullSafe(F.col("_s")) & (F.col("z") == F.col("_z"))
     rows = rows.join(scratch.small_side(copies), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -37,7 +37,8 @@ from turns group by conv_id
 
 OP9 = """
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents
+  select doc_id, coalesce(doc_id::varchar, 'null ' || coalesce(md5(text), '')) as key, source,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents
 ), per as (select source, sum(size)::bigint as source_size from sized group by source),
 weighed as (
   select source, source_size, source_size * 3 as cap, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint as weight from per
@@ -50,16 +51,16 @@ leveled as (
   select *, (words - sum(case when capped then cap else 0 end) over ())::double / nullif(sum(case when capped then 0 else weight end) over (), 0)::double as level from flagged
 ), targets as (select source, source_size, case when capped then cap::double else coalesce(level * weight, cap::double) end as target from leveled),
 expected as (
-  select s.doc_id, s.source, s.size, t.source_size, t.target,
+  select s.doc_id, s.key, s.source, s.size, t.source_size, t.target,
     case when s.size > 0 and t.source_size > 0 then least(3.0::double, t.target / t.source_size::double) else 0.0::double end as e,
-    (('0x' || substr(md5(coalesce(s.doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
+    (('0x' || substr(md5(s.key), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
   from sized s join targets t on s.source is not distinct from t.source
 ), keyed as (
   select *, floor(e)::bigint as whole, e - floor(e) as p from expected
 ), ranked as (
   select *, case when p > 0 then (u / (1 - u)) * ((1 - p) / p) end as q, target - sum(whole * size) over (partition by source) as rest from keyed
 ), placed as (
-  select *, sum(case when q is null then 0 else size end) over (partition by source order by case when q is null then 0 else 1 end, q / (1 + q), doc_id, size rows unbounded preceding) as upto from ranked
+  select *, sum(case when q is null then 0 else size end) over (partition by source order by case when q is null then 0 else 1 end, q / (1 + q), doc_id, size, key rows unbounded preceding) as upto from ranked
 )
 select doc_id, size, source_size, target, ((whole + case when q is not null and 2 * upto - size <= 2 * rest then 1 else 0 end) * size)::bigint as taken from placed
 """
