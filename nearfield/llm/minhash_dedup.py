@@ -17,14 +17,16 @@ trees with under 2e-6; a pair is also missed if its estimated similarity is impr
    group, or a few, from a linear number of pairs.
 2. In all trees, a node whose documents are in one group ends, since no link in it can change a
    group. Nodes up to ``NODE_DOCS`` documents are compared exhaustively, pair by pair across groups;
-   larger ones branch on. Larger nodes of few groups, and all those still larger at ``DEPTH``, are
-   dealt to blocks by group, and every pair of blocks that is not within one group is a unit that is
-   compared in a task of its own.
+   larger ones with at most ``MOST_REST`` documents outside their largest group are dealt to blocks by
+   group, and every pair of blocks not within one group is a unit compared in a task of its own: rows
+   in proportion to the node. Nodes with more outsiders hold every document against medoids of their
+   largest groups, which joins most of what belongs together, and branch on; what is still as large at
+   ``DEPTH`` is dealt to blocks, too.
 
 No pair of documents ever becomes a row. A first pass over a unit's signatures keeps the documents that
 have a candidate there; their full sets join the unit, which confirms links on them and gives one link
 to each document's first partner of its group inside the unit. Pairs already joined inside a unit are
-not confirmed again, and a pair that shares several nodes of depth 1 is judged in the first of them.
+not confirmed again, and a pair that shares several nodes compared at depth 1 is judged in the first of them.
 Nothing is capped.
 
 Defined results: a null or blank text has an empty set and links with nothing; a null doc_id counts
@@ -40,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield import scratch
@@ -54,7 +56,12 @@ BRANCHES = 2
 TREES = 5
 STAR_TREES = 2
 NODE_DOCS = 256
-DEPTH = 3
+DEPTH = 4
+#: Bounds of a block of a larger node, and most documents outside the largest group for which a node is cut into blocks above DEPTH.
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+MOST_REST = 8 * BLOCK_DOCS
+#: Representatives of a group, and most groups, that a large node's documents are held against.
+MEDOIDS, MEDOID_GROUPS = 8, 32
 #: Rounds of label exchange for the provisional groups.
 GROUP_ROUNDS = 3
 LAST_ID = 2**63 - 1
@@ -289,32 +296,54 @@ def hopeful_rows(percent: int):
     return work
 
 
+def _by_first(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row that comes first in a pair, with its partners."""
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(i) != 0, [True]))) if len(i) else []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        yield int(i[lo]), j[lo:hi]
+
+
+def _similar_to(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets, as sorted hashes that are not empty, are similar enough to one of them."""
+    size = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+    return 100 * both >= percent * (len(one) + size - both)
+
+
 def linked_rows(percent: int):
     """Work on cells (with full sets): links that span the groups of linked documents in each."""
 
     def work(cells: Cells) -> Iterator[pa.RecordBatch]:
         ids, grams = cells.of["id"], A.chunk(cells.table, "grams")
+        raw = np.frombuffer(grams.buffers()[2], np.uint8) if len(grams) else np.zeros(0, np.uint8)
+        at = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + len(grams) + 1].astype(np.int64)
+        sets = [raw[at[z] : at[z + 1]].view(np.uint64) for z in range(len(grams))]
         group = cells.of["comp"].copy()
+        end = cells.begin + cells.size
         a, b = [], []
-        sets: dict[int, np.ndarray] = {}
         for i, j in _candidates(percent, cells):
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                for z in (x, y):
-                    if z not in sets:
-                        sets[z] = np.frombuffer(grams[z].as_buffer(), np.uint64)
-                if group[x] != group[y] and similar(sets[x], sets[y], percent):
-                    a.append(x)
-                    b.append(y)
-                    at = np.searchsorted(cells.begin, x, side="right") - 1
-                    own = group[cells.begin[at] : cells.begin[at] + cells.size[at]]
-                    own[own == group[y]] = group[x]
+            for x, partners in _by_first(i, j):
+                partners = partners[group[partners] != group[x]]
+                if not len(partners):
+                    continue
+                cell = np.searchsorted(cells.begin, x, side="right") - 1
+                own = group[cells.begin[cell] : end[cell]]
+                for y in partners[_similar_to(sets[x], [sets[y] for y in partners.tolist()], percent)]:
+                    if group[y] != group[x]:
+                        a.append(x)
+                        b.append(y)
+                        own[own == group[y]] = group[x]
         yield _pair_batch(ids[np.array(a, np.int64)], ids[np.array(b, np.int64)])
 
     return work
 
 
 def _by_cell(cells: DataFrame, work, kind: str, *columns: str) -> DataFrame:
-    return cells.select("cell", *columns).repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(over_cells(work), kind)
+    return cells.select("cell", *columns).repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(A.frugal(over_cells(work)), kind)
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +377,7 @@ def linked(percent: int):
 def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """id, grams of the documents (id, text) named by ``ids``."""
     ids = scratch.materialize(ids.distinct(), "wanted")
-    return scratch.materialize(docs.join(scratch.small_side(ids), "id").mapInArrow(full_sets, "id long, grams binary"), "sets")
+    return scratch.materialize(docs.join(scratch.small_side(ids), "id").mapInArrow(A.frugal(full_sets), "id long, grams binary"), "sets", scratch.TEXT_ROWS)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -361,8 +390,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and set hashes h1, h2: one row per row of ``docs`` (doc_id, text)."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text")
-    parsed = scratch.materialize(keyed.mapInArrow(parse, PARSED), "parsed")
-    reps = parsed.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("id"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
+    parsed = scratch.materialize(keyed.mapInArrow(A.frugal(parse), PARSED), "parsed", scratch.TEXT_ROWS)
+    reps = parsed.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("id"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.count("*").alias("rows"))
     reps = scratch.materialize(reps, "reps")
     texts = keyed.withColumnRenamed("doc", "id")
 
@@ -373,7 +402,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> D
     nodes = scratch.materialize(nodes.join(scratch.small_side(sizes), "node"), "shared_nodes")
     sigs = reps.select("id", "n", "sig")
 
-    first = reps.mapInArrow(root_keys(range(min(STAR_TREES, trees))), "node long, id long, k int").join(scratch.small_side(sizes), "node")
+    first = nodes.filter(F.col("k") < BRANCHES * min(STAR_TREES, trees)).select("node", "id", "size")
     blocks = F.ceil(F.col("size") / NODE_DOCS)
     first = first.withColumn("cell", F.xxhash64("node", F.pmod(F.xxhash64("id"), blocks)))
     cells = first.join(sigs, "id")
@@ -381,71 +410,146 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> D
     hubs = first.join(stars.filter("a = b").select(F.col("a").alias("id")), "id").filter(F.col("size") > NODE_DOCS)
     lead = hubs.groupBy("node").agg(F.min("id").alias("lead"))
     across = hubs.join(lead, "node").filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-    one = confirmed(scratch.materialize(stars.filter("a < b").unionByName(across).distinct(), "pairs"), texts, percent)
-    groups = components(one, rounds=GROUP_ROUNDS)
+    links = confirmed(scratch.materialize(stars.filter("a < b").unionByName(across).distinct(), "pairs"), texts, percent)
+    groups = components(links, rounds=GROUP_ROUNDS)
 
-    cells = []
+    every, masks = [], None
+    nodes = nodes.select("node", "id", "k")
     for depth in range(DEPTH):
-        labelled = nodes.join(scratch.small_side(groups), "id", "left").select("node", "id", "k", F.coalesce("component", "id").alias("comp"))
-        state = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.approx_count_distinct("comp").alias("groups"))
-        state = scratch.materialize(state.filter("c1 < c2").select("node", "size", "groups"), "open_nodes")
-        alive = scratch.materialize(labelled.join(scratch.small_side(state), "node"), "alive")
-        small = alive.filter(F.col("size") <= NODE_DOCS)
-        cells.append(small.select(F.col("node").alias("cell"), "id", "comp", "k"))
-        if not depth:
-            masks = scratch.materialize(small.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask")), "masks")
-        large = alive.filter(F.col("size") > NODE_DOCS)
-        if large.isEmpty():
+        alive = _alive(nodes, groups)
+        cells = [alive.filter(F.col("size") <= NODE_DOCS).select(F.col("node").alias("cell"), "id", "comp", "k")]
+        large, left = alive.filter(F.col("size") > NODE_DOCS), None
+        if not large.isEmpty():
+            large = _held(large, sigs)
+            ready = F.lit(True) if depth == DEPTH - 1 else F.col("rest") <= MOST_REST
+            cells.append(_grid(large.filter(ready)))
+            left = scratch.materialize(large.filter(~ready), "left_nodes")
+        cells = cells[0] if len(cells) == 1 else scratch.materialize(cells[0].unionByName(cells[1]), "cells")
+        every.append(cells)
+        if masks is None:
+            masks = scratch.materialize(cells.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask")), "masks")
+        if left is None or left.isEmpty():
             break
-        few = F.col("groups") <= NODE_DOCS if depth < DEPTH - 1 else F.lit(True)
-        cells.append(_grid(large.filter(few)))
-        nodes = large.filter(~few).select("node", "id").join(sigs, "id").mapInArrow(child_keys, "node long, id long, k int")
+        medoids = _medoids(left)
+        if not medoids.isEmpty():
+            more = _links(_medoid_cells(left, medoids), sigs, masks, texts, percent)
+            links = scratch.materialize(links.unionByName(more), "links_so_far")
+            groups = components(links, rounds=GROUP_ROUNDS)
+        nodes = left.select("node", "id").join(sigs, "id").mapInArrow(child_keys, "node long, id long, k int")
         nodes = scratch.materialize(nodes, "nodes")
-    every = cells[0]
-    for more in cells[1:]:
-        every = every.unionByName(more)
-    every = every.join(sigs, "id").join(masks, "id", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-    columns = ("id", "comp", "k", "mask", "n", "sig")
-    hopeful = scratch.materialize(_by_cell(every, hopeful_rows(percent), CELL, *columns), "hopeful")
-    judged = hopeful.join(sets_of(hopeful.select("id"), texts), "id")
-    two = scratch.materialize(_by_cell(judged, linked_rows(percent), "a long, b long", *columns, "grams"), "linked")
-    groups = components(one.unionByName(two))
-
-    classes = reps.select("h1", "h2", "id").join(groups, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
-    classes = scratch.materialize(classes, "classes")
-    out = parsed.drop("sig").join(classes, ["h1", "h2"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")))
+    cells = every[0]
+    for more in every[1:]:
+        cells = cells.unionByName(more)
+    groups = components(links.unionByName(_links(cells, sigs, masks, texts, percent)))
+
+    counted = reps.select("h1", "h2", "rows", "id").join(scratch.small_side(groups), "id", "left").select("h1", "h2", "rows", "id", F.coalesce("component", "id").alias("component"))
+    classes = scratch.materialize(counted.filter("rows > 1 or component <> id").select("h1", "h2", "component"), "classes")
+    # a set alone in its group needs no row here; sets without words share one key, so they get keys of their own
+    spread = parsed.select("doc", "n", "h1", "h2", F.when(F.col("n") > 0, F.col("h1")).otherwise(F.xxhash64("doc")).alias("key"))
+    out = spread.join(scratch.small_side(classes.select(F.col("h1").alias("key"), "h2", "component")), ["key", "h2"], "left")
+    out = out.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")))
     shown = [F.nullif(F.col(c), F.lit(LAST_ID)).alias(name) for c, name in (("doc", "doc_id"), ("component", "component_id"))]
     return out.select(shown[0], F.col("n").alias("n_shingles"), shown[1], (F.col("doc") == F.col("component")).alias("kept"), "h1", "h2")
 
 
+def _alive(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, id, k, comp and size of the documents in nodes of more than one group."""
+    labelled = nodes.join(scratch.small_side(groups), "id", "left").select("node", "id", "k", F.coalesce("component", "id").alias("comp"))
+    state = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    state = scratch.materialize(state.filter("c1 < c2").select("node", "size"), "open_nodes")
+    return scratch.materialize(labelled.join(scratch.small_side(state), "node"), "alive")
+
+
+def _held(large: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Rows of large nodes with ``held``, the documents of their group in the node, ``rest``, those outside its largest group, and ``blocks``.
+
+    ``blocks`` is how many blocks the row's part needs to keep each under BLOCK_DOCS documents and
+    BLOCK_SHINGLES shingles; a part is a group above BLOCK_DOCS documents, or all smaller groups.
+    """
+    rows = scratch.materialize(sigs.select("id", "n").join(scratch.small_side(large), "id"), "large_nodes")
+    held = rows.groupBy("node", "comp").agg(F.count("*").alias("held"), F.sum("n").alias("shingles"))
+    held = scratch.materialize(held.withColumn("pure", F.when(F.col("held") > BLOCK_DOCS, F.col("comp"))), "held")
+    need = F.greatest(F.ceil(F.sum("held") / BLOCK_DOCS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES))
+    parts = scratch.materialize(held.groupBy("node", "pure").agg(need.alias("blocks")), "parts")
+    rest = scratch.materialize(held.groupBy("node").agg((F.sum("held") - F.max("held")).alias("rest")), "rest")
+    held = held.join(scratch.small_side(rest), "node").join(scratch.small_side(parts.withColumnsRenamed({"node": "_n", "pure": "_p"})), (F.col("node") == F.col("_n")) & F.col("pure").eqNullSafe(F.col("_p")))
+    held = scratch.materialize(held.select("node", "comp", "held", "pure", "rest", "blocks"), "held_parts")
+    return scratch.materialize(rows.join(scratch.small_side(held), ["node", "comp"]), "held_rows")
+
+
+def _medoids(large: DataFrame) -> DataFrame:
+    """node, id, comp, size of MEDOIDS documents of each group that holds a MEDOID_GROUPS-th of its node or more.
+
+    They are the least by hash out of a few drawn by hash, so that no group is ordered as a whole.
+    """
+    u = F.xxhash64(F.lit(5), "id").cast("double") / 2.0**64 + 0.5
+    few = large.filter((F.col("held") > 1) & (F.col("held") * MEDOID_GROUPS >= F.col("size")) & (u * F.col("held") < 4 * MEDOIDS))
+    order = Window.partitionBy("node", "comp").orderBy(u, "id")
+    few = few.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= MEDOIDS)
+    return scratch.materialize(few.select("node", "id", "comp", "size"), "medoids")
+
+
+def _medoid_cells(large: DataFrame, medoids: DataFrame) -> DataFrame:
+    """Cells of large nodes in which every document meets the node's medoids.
+
+    A node's documents are dealt to blocks of about NODE_DOCS, and its medoids go to all of them: rows
+    grow in proportion to the node.
+    """
+    blocks = F.ceil(F.col("size") / NODE_DOCS)
+    named = scratch.materialize(medoids.select("node").distinct(), "medoid_nodes")
+    own = large.join(scratch.small_side(named), "node").join(scratch.small_side(medoids.select("node", "id")), ["node", "id"], "left_anti")
+    own = own.select("node", "id", "comp", F.pmod(F.xxhash64("id"), blocks).alias("block"))
+    seen = medoids.select("node", "id", "comp", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    return own.unionByName(seen).select(F.xxhash64("node", "block").alias("cell"), "id", "comp", F.lit(len(_ROOTS)).alias("k"))
+
+
+def _links(cells: DataFrame, sigs: DataFrame, masks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links a, b inside cells (cell, id, comp, k): enough of them to span the groups of linked documents in each."""
+    rows = cells.join(sigs, "id").join(masks, "id", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    columns = ("id", "comp", "k", "mask", "n", "sig")
+    hopeful = scratch.materialize(_by_cell(rows, hopeful_rows(percent), CELL, *columns), "hopeful")
+    judged = hopeful.join(sets_of(hopeful.select("id"), texts), "id")
+    return scratch.materialize(_by_cell(judged, linked_rows(percent), "a long, b long", *columns, "grams"), "linked")
+
+
 def _grid(large: DataFrame) -> DataFrame:
-    """Cells of large nodes (node, id, comp, size): every pair of blocks that are not within one group.
+    """Cells of large nodes (rows of ``_held``): every pair of blocks that are not within one group.
 
-    A group above NODE_DOCS documents is cut into blocks of its own; the other groups are dealt to
-    blocks by hash. A cell holds two blocks, so its size is bounded.
+    A group above BLOCK_DOCS documents has blocks of its own; the others share blocks by hash. A cell
+    holds two blocks, so its size is bounded, and a document goes to at most ``rest`` / BLOCK_DOCS cells
+    and a few more, or, outside the largest group, to as many as the node has blocks.
     """
-    held = large.groupBy("node", "comp").agg(F.count("*").alias("held"))
-    members = large.join(scratch.small_side(scratch.materialize(held, "held")), ["node", "comp"])
-    big = F.col("held") > NODE_DOCS
-    own = F.xxhash64(F.lit("own"), "comp", F.pmod(F.xxhash64("id"), F.ceil(F.col("held") / NODE_DOCS)))
-    dealt = F.xxhash64(F.lit("dealt"), F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / NODE_DOCS)))
-    members = scratch.materialize(members.select("node", "id", "comp", F.when(big, own).otherwise(dealt).alias("block"), F.when(big, F.col("comp")).alias("pure")), "members")
+    block = F.xxhash64(F.coalesce("pure", F.lit(-1)), F.pmod(F.xxhash64(F.lit(8), "id"), F.col("blocks")))
+    members = scratch.materialize(large.select("node", "id", "comp", "k", "pure", block.alias("block")), "members")
     blocks = scratch.materialize(members.select("node", "block", "pure").distinct(), "blocks")
     left, right = (blocks.select("node", F.col("block").alias(f"b{k}"), F.col("pure").alias(f"p{k}")) for k in (1, 2))
     both = left.join(right, "node").filter("b1 <= b2 and not coalesce(p1 = p2, false)")
     both = both.withColumn("cell", F.xxhash64("node", "b1", "b2"))
     sides = both.select("node", "cell", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
-    return members.join(sides, ["node", "block"]).select("cell", "id", "comp", F.lit(len(_ROOTS)).alias("k"))
+    return members.join(sides, ["node", "block"]).select("cell", "id", "comp", "k")
 
 
 def keep_one(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFrame:
-    """The rows of ``docs`` that stay: the first of each near-duplicate group, once, and rows without words."""
+    """The rows of ``docs`` that stay: the first of each near-duplicate group, once, and rows without words.
+
+    Rows are matched by doc_id; only rows whose doc_id is null or repeated are shingled again, since
+    their texts tell them apart.
+    """
     found = near_duplicates(docs.select("doc_id", "text"), percent, trees)
-    gone = scratch.materialize(found.filter("not kept").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "h1", "h2").distinct(), "not_kept")
-    keyed = _with_set(docs)
-    rows = keyed.join(scratch.small_side(gone), ["id", "h1", "h2"], "left_anti")
-    some = rows.filter("n > 0").dropDuplicates(["id", "h1", "h2"])
-    return some.unionByName(rows.filter("n = 0")).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    found = scratch.materialize(found.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "h1", "h2", "kept"), "decisions")
+    again = found.groupBy("id").agg(F.count("*").alias("rows")).filter((F.col("rows") > 1) | (F.col("id") == LAST_ID)).select("id")
+    again = scratch.materialize(again, "repeated_ids")
+    gone = scratch.materialize(found.filter("not kept").select("id", "h1", "h2").distinct(), "not_kept")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own)
+    shown = [F.col(f"row.`{c}`") for c in docs.columns]
+    once = rows.join(scratch.small_side(scratch.materialize(gone.select("id").unionByName(again).distinct(), "not_plain")), "id", "left_anti").select(*shown)
+    if again.isEmpty():
+        return once
+    keyed = _with_set(rows.join(scratch.small_side(again), "id", "left_semi").select(*shown)).join(scratch.small_side(gone), ["id", "h1", "h2"], "left_anti")
+    keyed = scratch.materialize(keyed, "repeated_rows")
+    some = keyed.filter("n > 0").dropDuplicates(["id", "h1", "h2"]).unionByName(keyed.filter("n = 0"))
+    return once.unionByName(some.select(*shown))
 
 
 def _with_set(docs: DataFrame) -> DataFrame:
