@@ -6,23 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def squared_norm(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
 
 
-def squared_direct(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance from differences; never negative."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
-def squared_expanded(norm_a: Column, norm_b: Column, product: Column) -> Column:
-    """Squared Euclidean distance from squared norms and the dot product, stopped at zero."""
-    return F.greatest(F.lit(0.0), norm_a + norm_b - 2 * product)
-
-
 def mean_of(total: Column, n: Column) -> Column:
     return F.transform(total, lambda x: x / n)

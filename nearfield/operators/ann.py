@@ -3,6 +3,7 @@
 Every point gets exactly k neighbours, itself excluded by id, all of its own cluster; merging leaves
 no cluster under k + 1 points. One cluster gives the exact result. The search is an equi-join on the
 cluster: a large cluster is cut into blocks, and every ordered pair of its blocks is a unit of its own.
+Only a table of one row per cluster is broadcast; the driver made it, so its size is known.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from pyspark.sql import functions as F
 from nearfield import scratch
 from nearfield.operators import clustering, validate
 from nearfield.operators.knn import merge_units, search_units
-from nearfield.sources.vectors import dimension
+from nearfield.sources.vectors import shape
 
 BLOCK_ROWS = 4096
 
 
 def cluster_points(points: DataFrame, k: int, clusters: int, seed_ids: Sequence[int] | None = None) -> tuple[DataFrame, clustering.MergePlan]:
     """Points with merged cluster numbers (written to the shared folder) and the merge plan."""
-    validate.check_ann(points.count(), dimension(points), k, clusters)
+    n, dim = shape(points)
+    validate.check_ann(n, dim, k, clusters)
     assigned = scratch.materialize(clustering.assign(points, clustering.seeds(points, clusters, seed_ids)), "assigned")
     return clustering.merge_small(assigned, k + 1)
 
@@ -40,7 +42,7 @@ def search_clusters(clustered: DataFrame, k: int, sizes: Sequence[int]) -> DataF
     return merge_units(found, k)
 
 
-def a2a_ann(points: DataFrame, k: int, clusters: int, seed_ids: Sequence[int] | None = None) -> DataFrame:
+def clustered_all_to_all(points: DataFrame, k: int, clusters: int, seed_ids: Sequence[int] | None = None) -> DataFrame:
     """(query_id, rank, neighbor_id, distance) for every point."""
     clustered, plan = cluster_points(points, k, clusters, seed_ids)
     return search_clusters(clustered, k, plan.sizes)

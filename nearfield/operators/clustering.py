@@ -6,7 +6,8 @@ are taken before merging. The lowest-numbered cluster with fewer than ``least``
 the valid cluster whose mean is nearest (ties to the smaller number), whose mean is then renewed; this
 repeats until none is left, and the rest are numbered anew in order.
 
-Only per-cluster summaries, whose number is the number of clusters, reach the driver.
+Only per-cluster summaries, whose number is the number of clusters, reach the driver, and only lists of
+that length (or of the seeds that a caller names) are broadcast.
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield import scratch
 from nearfield.functions import arrow as A
+from nearfield.functions import distance
+from nearfield.operators import knn
+from nearfield.sources import vectors
 
-#: Largest matrix of seeds that tasks may hold.
+#: Largest matrix of seeds that tasks may hold; more are searched by pairs of blocks.
 SEED_BYTES = 64 << 20
 
 
@@ -41,10 +46,12 @@ def non_seed_points(points: DataFrame, seed_rows: DataFrame) -> DataFrame:
 
 def assign(points: DataFrame, seed_rows: DataFrame) -> DataFrame:
     """(id, cluster_id, v) of every point."""
+    seed_rows = scratch.materialize(seed_rows.select("id", "v", "cluster_id"), "seeds")
+    count, dim = vectors.shape(seed_rows)
+    if 8 * count * dim > SEED_BYTES:
+        return _assign_by_blocks(points, seed_rows, dim)
     table = seed_rows.orderBy("cluster_id").select("id", "v").toArrow()
     own, centers = A.long_values(A.chunk(table, "id")), A.matrix(A.chunk(table, "v"))
-    if centers.nbytes > SEED_BYTES:
-        raise ValueError(f"{len(centers)} seeds of dimension {centers.shape[1]} exceed {SEED_BYTES} bytes")
     by_id = np.argsort(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,6 +66,15 @@ def assign(points: DataFrame, seed_rows: DataFrame) -> DataFrame:
     return points.select("id", "v").mapInArrow(run, "id long, cluster_id int, v array<double>")
 
 
+def _assign_by_blocks(points: DataFrame, seed_rows: DataFrame, dim: int) -> DataFrame:
+    """``assign`` for seeds of any number: a blocked search for the nearest one, and equi-joins on the id."""
+    centers = seed_rows.select(F.col("cluster_id").cast("long").alias("id"), "v")
+    counts = knn.block_counts(points.count(), seed_rows.count(), dim, 0.5)
+    near = knn.search_blocks(points, centers, counts, 1, keep_self=True).select(F.col("query_id").alias("id"), F.col("neighbor_id").alias("near"))
+    own = seed_rows.select("id", F.col("cluster_id").alias("own"))
+    return points.select("id", "v").join(near, "id").join(own, "id", "left").select("id", F.coalesce("own", "near").cast("int").alias("cluster_id"), "v")
+
+
 def sizes(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster_id").agg(F.count("*").alias("n"))
 
@@ -73,8 +89,18 @@ def clusters_by_size(assigned: DataFrame) -> DataFrame:
 
 
 def members(assigned: DataFrame) -> DataFrame:
-    """(cluster_id, id, pos): each cluster's points by ascending id, from 1."""
-    return assigned.select("cluster_id", "id", F.row_number().over(Window.partitionBy("cluster_id").orderBy("id")).alias("pos"))
+    """(cluster_id, id, pos): each cluster's points by ascending id, from 1.
+
+    Points are dealt by ranges of (cluster, id); positions count on from the ranges before, so that a
+    large cluster is numbered in many tasks.
+    """
+    ranged = assigned.select("cluster_id", "id").repartitionByRange("cluster_id", "id").withColumn("part", F.spark_partition_id())
+    ranged = scratch.materialize(ranged, "ranges")
+    upto = Window.partitionBy("cluster_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("cluster_id", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
+    before = scratch.materialize(before, "range_starts")
+    at = F.row_number().over(Window.partitionBy("cluster_id", "part").orderBy("id"))
+    return ranged.withColumn("at", at).join(scratch.small_side(before), ["cluster_id", "part"]).select("cluster_id", "id", (F.col("before") + F.col("at")).cast("int").alias("pos"))
 
 
 def summaries(assigned: DataFrame) -> DataFrame:
@@ -102,7 +128,7 @@ def summaries(assigned: DataFrame) -> DataFrame:
 
 def centroids(assigned: DataFrame) -> DataFrame:
     """(cluster_id, n, centroid)."""
-    return summaries(assigned).select("cluster_id", "n", F.transform("sum_v", lambda x: x / F.col("n")).alias("centroid"))
+    return summaries(assigned).select("cluster_id", "n", distance.mean_of(F.col("sum_v"), F.col("n")).alias("centroid"))
 
 
 def nearest_centroids(assigned: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def bench_ann_grid(points: DataFrame, truth: DataFrame, k: int, workers: Sequenc
         dealt = points.repartition(w, "id")
         for c in clusters:
             began = time.perf_counter()
-            _, found = _timed(ann.a2a_ann(dealt, k, c))
+            _, found = _timed(ann.clustered_all_to_all(dealt, k, c))
             rows.append(_row("ann", w, c, time.perf_counter() - began, n, truth, found))
     return spark.createDataFrame(rows, BENCH)
 

@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import arrow as A
 from nearfield.operators import validate
-from nearfield.sources.vectors import dimension
+from nearfield.sources.vectors import shape
 
 BROADCAST_BYTES = 32 << 20
-POINT_ROWS = 8192
-QUERY_ROWS = 2048
+#: Bytes of points, and of queries, that one unit may hold; ``memory_ratio`` says which part of them blocks use.
+POINT_BYTES, QUERY_BYTES = 8 << 20, 2 << 20
+#: Pairs in one batch of a distance matrix.
+PAIR_ROWS = 20_000
 RESULT = "query_id long, rank int, neighbor_id long, distance double"
 FOUND = "query_id long, neighbor_id long, distance double"
 
@@ -58,8 +60,14 @@ def merge_units(found: DataFrame, k: int) -> DataFrame:
     return rows.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.neighbor_id").alias("neighbor_id"), F.col("b.distance").alias("distance"))
 
 
-def _blocks(queries: DataFrame, points: DataFrame, m: int, n: int, k: int, keep_self: bool) -> DataFrame:
-    rows, columns = math.ceil(m / QUERY_ROWS), math.ceil(n / POINT_ROWS)
+def block_counts(m: int, n: int, dim: int, memory_ratio: float) -> tuple[int, int]:
+    """How many blocks m queries and n points are dealt to."""
+    return tuple(math.ceil(count / max(1, int(memory_ratio * most) // (8 * dim))) for count, most in ((m, QUERY_BYTES), (n, POINT_BYTES)))
+
+
+def search_blocks(queries: DataFrame, points: DataFrame, counts: tuple[int, int], k: int, keep_self: bool) -> DataFrame:
+    """The ``blocks`` form: every pair of blocks is searched by itself."""
+    rows, columns = counts
     deal = lambda count, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     asked = queries.select("id", "v", deal(rows, 1).alias("i"), every(columns).alias("j"), F.lit(True).alias("query"))
@@ -84,37 +92,36 @@ def _broadcast(queries: DataFrame, points: DataFrame, k: int, keep_self: bool) -
     return queries.select("id", "v").repartition(spread, "id").mapInArrow(run, RESULT)
 
 
-def knn_search(queries: DataFrame, points: DataFrame, k: int, keep_self: bool = True, mode: str = "auto", precision: str = "double") -> DataFrame:
+def knn_search(queries: DataFrame, points: DataFrame, k: int, keep_self: bool = True, mode: str = "auto", precision: str = "double", memory_ratio: float = 0.5) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): the k nearest ``points`` of each row of ``queries``.
 
     A point equal to a query is a neighbour at distance 0; with ``keep_self=False`` a point with the
     query's own id is left out before the nearest are chosen. Ids are distinct within each set.
+    ``memory_ratio`` in (0, 1] bounds the memory of a unit of the ``blocks`` form.
     """
-    n, m = points.count(), queries.count()
-    validate.check_knn(m, n, 1, k, mode)
-    dim = dimension(points.unionByName(queries))
+    validate.check_options(mode, precision, memory_ratio)
+    m, n, dim = shape(queries, points)
+    validate.check_knn(m, n, dim, k if keep_self or queries is not points else k + 1, mode)
     if precision == "single":
         queries, points = (x.withColumn("v", F.col("v").cast("array<float>").cast("array<double>")) for x in (queries, points))
     if mode == "broadcast" or mode == "auto" and n * dim * 8 <= BROADCAST_BYTES:
         if n * dim * 8 > BROADCAST_BYTES:
             raise ValueError(f"{n} points of dimension {dim} are too large to broadcast; use mode='blocks'")
         return _broadcast(queries, points, k, keep_self)
-    return _blocks(queries, points, m, n, k, keep_self)
+    return search_blocks(queries, points, block_counts(m, n, dim, memory_ratio), k, keep_self)
 
 
 def all_to_all(points: DataFrame, k: int, mode: str = "auto") -> DataFrame:
     """The k nearest other points of each point; k + 1 points are needed."""
-    n = points.count()
-    validate.check_knn(n, n, 1, k + 1, mode)
     return knn_search(points, points, k, keep_self=False, mode=mode)
 
 
-def pair_distances(queries: DataFrame, points: DataFrame, value: str = "direct") -> DataFrame:
+def pair_distances(queries: DataFrame, points: DataFrame, value: str = "direct", memory_ratio: float = 0.5) -> DataFrame:
     """(a, b, value) for each query a and point b, from blocks: the whole distance matrix, M x N rows.
 
     ``value``: dot, expanded or direct (squared distances), or distance (Euclidean).
     """
-    rows, columns = max(1, math.ceil(queries.count() / QUERY_ROWS)), max(1, math.ceil(points.count() / POINT_ROWS))
+    rows, columns = block_counts(*shape(queries, points), memory_ratio)
     spread = max(rows, queries.sparkSession.sparkContext.defaultParallelism)
     asked = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"), F.lit(True).alias("query"))
     held = points.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("i"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("j"), F.lit(False).alias("query"))
@@ -124,15 +131,19 @@ def pair_distances(queries: DataFrame, points: DataFrame, value: str = "direct")
         query = np.asarray(A.chunk(table, "query").to_numpy(zero_copy_only=False), bool)
         ids, m = A.long_values(A.chunk(table, "id")), A.from_binaries(A.chunk(table, "v"))
         points, names = m[~query], ids[~query]
+        asked, own = m[query], ids[query]
         norms = (points * points).sum(axis=1)
-        for row, name in zip(m[query], ids[query], strict=True):
+        step = max(1, PAIR_ROWS // max(1, len(points)))
+        for lo in range(0, len(asked), step):
+            q = asked[lo : lo + step]
             if value == "dot":
-                got = points @ row
+                got = q @ points.T
             elif value == "expanded":
-                got = np.maximum(0, norms + row @ row - 2 * (points @ row))
+                got = np.maximum(0, norms + (q * q).sum(axis=1)[:, None] - 2 * (q @ points.T))
             else:
-                got = ((points - row) ** 2).sum(axis=1)
-            yield pa.record_batch([pa.array(np.full(len(names), name)), pa.array(names), pa.array(np.sqrt(got) if value == "distance" else got)], names=["a", "b", "value"])
+                got = ((points - q[:, None]) ** 2).sum(axis=2)
+            got = (np.sqrt(got) if value == "distance" else got).ravel()
+            yield pa.record_batch([pa.array(np.repeat(own[lo : lo + step], len(names))), pa.array(np.tile(names, len(q))), pa.array(got)], names=["a", "b", "value"])
 
     packed = cells.mapInArrow(_pack, "cell long, id long, query boolean, v binary")
     return packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(A.by_key("cell", work), "a long, b long, value double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 PARALLEL_MODES = ("broadcast", "blocks", "auto")
+PRECISIONS = ("single", "double")
 
 
 def check_knn(m: int, n: int, dim: int, k: int, mode: str = "auto") -> None:
@@ -25,6 +26,15 @@ def check_ann(n: int, dim: int, k: int, clusters: int) -> None:
         raise ValueError(f"{clusters} clusters are too many: {n} points leave {n // clusters} to a cluster, and k = {k} needs more")
 
 
+def check_options(mode: str, precision: str, ratio: float) -> None:
+    """Options of a search that do not depend on its data."""
+    if mode not in PARALLEL_MODES:
+        raise ValueError(f"mode must be one of {PARALLEL_MODES}, not {mode!r}")
+    if precision not in PRECISIONS:
+        raise ValueError(f"precision must be one of {PRECISIONS}, not {precision!r}")
+    check_ratio(ratio)
+
+
 def check_ratio(ratio: float) -> None:
     if not 0 < ratio <= 1:
         raise ValueError(f"the memory ratio must be in (0, 1], not {ratio}")

@@ -44,7 +44,8 @@ def _pairs(value: str):
 
 
 def scan_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).select(F.col("id").alias("vec_id"), F.size("v").cast("long").alias("dim"))
+    rows = vectors.scan_vectors(spark, f"{sf_dir}/embeddings.parquet", "vec_id", "embedding", keep=["label"])
+    return rows.select(F.col("id").alias("vec_id"), "label", F.size("v").cast("long").alias("dim"))
 
 
 def concat_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,14 +139,14 @@ def merge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ann(clusters: int):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shown(ann.a2a_ann(points(spark, sf_dir), K, clusters))
+        return shown(ann.clustered_all_to_all(points(spark, sf_dir), K, clusters))
 
     return query
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = points(spark, sf_dir)
-    return knn.all_to_all(rows, K), scratch.materialize(ann.a2a_ann(rows, K, CLUSTERS), "approximate")
+    return knn.all_to_all(rows, K), scratch.materialize(ann.clustered_all_to_all(rows, K, CLUSTERS), "approximate")
 
 
 def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,14 +197,37 @@ def _assigned_sql(clusters: int, name: str = "m") -> str:
     )"""
 
 
+def _merged_sql(clusters: int, least: int) -> str:
+    """CTEs: m (id, v, cluster_id) with merged cluster numbers. A recursion merges one cluster a step."""
+    d2 = "list_sum(list_transform(list_zip(x.s, f.s), lambda z: (z[1] / x.n - z[2] / f.n) * (z[1] / x.n - z[2] / f.n)))"
+    return f"""{_assigned_sql(clusters, "o")}, sums as (
+      select cluster_id, max(n)::bigint as n, list(x order by dim) as s from (
+        select cluster_id, dim, count(*) as n, sum(x) as x from (select cluster_id, generate_subscripts(v, 1) as dim, unnest(v) as x from o) group by cluster_id, dim
+      ) group by cluster_id
+    ), steps as (
+      select 0 as step, list(struct_pack(id := cluster_id, n := n, s := s) order by cluster_id) as c, list(struct_pack(old := cluster_id, cur := cluster_id) order by cluster_id) as now from sums
+      union all
+      select step + 1,
+        list_transform(list_filter(c, lambda x: x.id <> f.id), lambda x: case when x.id = t then struct_pack(id := x.id, n := x.n + f.n, s := list_transform(list_zip(x.s, f.s), lambda z: z[1] + z[2])) else x end),
+        list_transform(now, lambda y: case when y.cur = f.id then struct_pack(old := y.old, cur := t) else y end)
+      from (
+        select step, c, now, f, list_sort(list_transform(list_filter(c, lambda x: x.id <> f.id), lambda x: struct_pack(d := {d2}, id := x.id)))[1].id as t
+        from (select step, c, now, list_filter(c, lambda x: x.n < {least})[1] as f from steps) where f is not null and len(c) > 1
+      )
+    ), last as (select unnest(arg_max(now, step), recursive := true) from steps),
+    renamed as (select old, dense_rank() over (order by cur) - 1 as cluster_id from last),
+    m as (select o.id, o.v, r.cluster_id from o join renamed r on o.cluster_id = r.old)"""
+
+
 _M = _assigned_sql(CLUSTERS)
+_MERGED = _merged_sql(MANY_CLUSTERS, K + 1)
 _MEANS = """r as (select cluster_id, generate_subscripts(v, 1) - 1 as dim, unnest(v) as x from m),
   t as (select cluster_id, dim, count(*) as n, sum(x) / count(*) as value from r group by cluster_id, dim)"""
 _ANN = _top("m", "m", "a.cluster_id = b.cluster_id and a.id <> b.id")
 _EXACT = _top("e", "e", "a.id <> b.id")
 
 ORACLES = {
-    "scan_vectors": "select vec_id, len(embedding) as dim from embeddings",
+    "scan_vectors": "select vec_id, label, len(embedding) as dim from embeddings",
     "concat_train_test": f"""with {_E}, joined as (select id, v, 'train' as split from c union all select id + (select max(id) + 1 from c), v, 'test' from q)
       select id, split, round({_NORM.format("joined")}, 6) + 0.0::double as sq_norm from joined""",
     "sq_norms": f"with {_E} select id as vec_id, round({_NORM.format('e')}, 6) + 0.0::double as sq_norm from e",
@@ -230,6 +254,15 @@ ORACLES = {
     "cluster_members": f"with {_E}, {_M} select cluster_id, id as vec_id, row_number() over (partition by cluster_id order by id) as pos from m",
     "clusters_by_size": f"with {_E}, {_M} select cluster_id, count(*) as n, row_number() over (order by count(*) desc, cluster_id) as size_rank from m group by cluster_id",
     "ann_knn": f"with {_E}, {_M} {_ANN}",
+    "worker_load": f"""with recursive {_E}, {_M}, z as (select row_number() over (order by count(*) desc, cluster_id) as i, count(*)::bigint as n from m group by cluster_id),
+      l as (
+        select 0::bigint as step, list_transform(range({WORKERS}), lambda x: 0::bigint) as loads
+        union all
+        select step + 1, list_transform(loads, lambda x, i: x + case when i = list_position(loads, list_min(loads)) then z.n else 0::bigint end) from l join z on z.i = l.step + 1
+      ), e2 as (select arg_max(loads, step) as loads from l)
+      select (generate_subscripts(loads, 1) - 1)::int as worker, unnest(loads)::bigint as load from e2""",
+    "merge_clusters": f"with recursive {_E}, {_MERGED} select id as vec_id, cluster_id from m",
+    "ann_knn_merged": f"with recursive {_E}, {_MERGED} {_ANN}",
     "ann_single_cluster": f"with {_E} {_EXACT}",
     "recall": f"""with {_E}, {_M}, x as ({_EXACT}), y as ({_ANN}), z as (select count(y.query_id) as n_found, count(*) as n_total from x left join y using (query_id, neighbor_id))
       select n_found, n_total, round(n_found * 100.0::double / n_total, 6) + 0.0::double as recall_pct from z""",

@@ -6,6 +6,9 @@ a vector ``v array<double>``; single precision rounds the components to floats f
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +16,8 @@ from pyspark.sql import types as T
 NUMBERS = (T.IntegerType, T.FloatType, T.DoubleType)
 
 
-def normalize_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "v", precision: str = "double") -> DataFrame:
-    """(id, v) from a table with an id and an array of ints, floats or doubles; a scalar is a vector of one.
+def normalize_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "v", precision: str = "double", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, v) and the columns ``keep`` from a table with an id and an array of ints, floats or doubles; a scalar is a vector of one.
 
     Other types raise. Null ids or vectors, null components and mixed dimensions raise when the plan runs.
     """
@@ -31,21 +34,23 @@ def normalize_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "v",
     vector = vector.cast("array<double>")
     fine = vector.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
     checked = F.when(F.coalesce(fine, F.lit(False)), vector).otherwise(F.raise_error(F.lit("null id, vector or component")).cast("array<double>"))
-    return df.select(F.col(id_col).cast("long").alias("id"), checked.alias("v"))
+    return df.select(F.col(id_col).cast("long").alias("id"), checked.alias("v"), *keep)
 
 
-def dimension(df: DataFrame) -> int:
-    """The common dimension of a vector set; raises if it is empty or mixed."""
-    row = df.agg(F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi")).first()
-    if row["lo"] is None:
-        raise ValueError("the vector set is empty")
-    if row["lo"] != row["hi"]:
-        raise ValueError(f"vectors of different dimensions: {row['lo']} to {row['hi']}")
-    return row["lo"]
+def shape(*sets: DataFrame) -> tuple[int, ...]:
+    """The rows of each vector set and their common dimension, in one job; raises if a set is empty or dimensions differ."""
+    every = [df.select(F.lit(k).alias("k"), F.size("v").alias("d")) for k, df in enumerate(sets)]
+    rows = functools.reduce(DataFrame.unionByName, every).groupBy("k").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()
+    if len(rows) < len(sets):
+        raise ValueError("a vector set is empty")
+    low, high = min(r["lo"] for r in rows), max(r["hi"] for r in rows)
+    if low != high:
+        raise ValueError(f"vectors of different dimensions: {low} to {high}")
+    return *(r["n"] for r in sorted(rows, key=lambda r: r["k"])), low
 
 
-def scan_vectors(spark: SparkSession, path: str, id_col: str = "id", vector_col: str = "v", precision: str = "double") -> DataFrame:
-    return normalize_vectors(spark.read.parquet(path), id_col, vector_col, precision)
+def scan_vectors(spark: SparkSession, path: str, id_col: str = "id", vector_col: str = "v", precision: str = "double", keep: Sequence[str] = ()) -> DataFrame:
+    return normalize_vectors(spark.read.parquet(path), id_col, vector_col, precision, keep)
 
 
 def write_dataset(df: DataFrame, store: str, name: str, mode: str = "a") -> None:

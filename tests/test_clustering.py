@@ -72,10 +72,26 @@ def test_every_point_has_k_others_of_its_cluster(spark, clusters, monkeypatch):
 @pytest.mark.parametrize(("clusters", "percent"), [(5, 32.16), (10, 20.92), (40, 19.18)])
 def test_recall_of_the_survey(spark, clusters, percent):
     rows = embeddings(spark, "/root/testdata/sf0.01")
-    got = evaluate.recall(knn.all_to_all(rows, 10), ann.a2a_ann(rows, 10, clusters)).first()
+    got = evaluate.recall(knn.all_to_all(rows, 10), ann.clustered_all_to_all(rows, 10, clusters)).first()
     assert got["n_total"] == 5000 and abs(got["recall_pct"] - percent) < 1e-9
 
 
+def test_many_seeds_are_searched_by_blocks(spark, monkeypatch):
+    rows = frame(spark, np.random.default_rng(9).random((120, 5)))
+    chosen = clustering.seeds(rows, 30)
+    expected = {r["id"]: r["cluster_id"] for r in clustering.assign(rows, chosen).collect()}
+    monkeypatch.setattr(clustering, "SEED_BYTES", 100)
+    got = clustering.assign(rows, chosen)
+    assert got.columns == ["id", "cluster_id", "v"] and {r["id"]: r["cluster_id"] for r in got.collect()} == expected
+
+
+def test_members_are_numbered_in_order(spark):
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 as id", "cast(id % 3 = 0 as int) as cluster_id").repartition(5)
+    for c in (0, 1):
+        got = [(r["pos"], r["id"]) for r in clustering.members(rows).filter(f"cluster_id = {c}").orderBy("pos").collect()]
+        assert [p for p, _ in got] == list(range(1, len(got) + 1)) and [i for _, i in got] == sorted(i for _, i in got)
+
+
 def test_duplicate_seeds_keep_their_clusters(spark):
     rows = frame(spark, [[1.0], [1.0], [1.0], [9.0]])
     assigned = clustering.assign(rows, clustering.seeds(rows, 2, seed_ids=[0, 1]))

@@ -35,6 +35,7 @@ def assert_same(found, expected):
 
 @pytest.mark.parametrize("mode", ["broadcast", "blocks"])
 def test_fixed_cases(spark, mode):
+    # fixed values: the small vectors of the golden cases in FIXTURES.md; the distances are worked out by hand
     one = knn.knn_search(frame(spark, [[3.7]]), frame(spark, [[7.2]]), 1, mode=mode)
     assert_same(rows_of(one), [(0, 1, 0, 3.5)])
     corpus = [[4.7, 5.2, 4.9], [0.0, 1.1, 2.0], [2.4, 6.7, 3.3]]
@@ -54,8 +55,8 @@ def test_random_cases(spark, case):
 
 @pytest.mark.parametrize("mode", ["broadcast", "blocks"])
 def test_copies_and_ties(spark, mode, monkeypatch):
-    monkeypatch.setattr(knn, "POINT_ROWS", 8)
-    monkeypatch.setattr(knn, "QUERY_ROWS", 5)
+    monkeypatch.setattr(knn, "POINT_BYTES", 8 * 2 * 32)
+    monkeypatch.setattr(knn, "QUERY_BYTES", 5 * 2 * 32)
     rng = np.random.default_rng(1)
     points = np.concatenate((np.full((12, 4), 0.3), rng.integers(0, 3, (40, 4)).astype(float)))
     found = rows_of(knn.knn_search(frame(spark, points), frame(spark, points), 3, keep_self=False, mode=mode))
@@ -82,6 +83,13 @@ def test_bad_arguments(spark):
             knn.knn_search(points, points, k)
     with pytest.raises(ValueError):
         knn.knn_search(points, points, 1, mode="threads")
+    with pytest.raises(ValueError):
+        knn.knn_search(points, points, 1, precision="half")
+    for ratio in (0, -0.5, 1.5):
+        with pytest.raises(ValueError):
+            knn.knn_search(points, points, 1, memory_ratio=ratio)
+    with pytest.raises(ValueError):
+        knn.all_to_all(points, 2)
     with pytest.raises(ValueError):
         knn.knn_search(points.limit(0), points, 1)
     with pytest.raises(ValueError):
@@ -95,13 +103,17 @@ def test_bad_arguments(spark):
 
 def test_distance_columns(spark):
     df = spark.createDataFrame([([1.0, 2.0], [4.0, 6.0])], "a array<double>, b array<double>")
-    a, b = F.col("a"), F.col("b")
-    row = df.select(
-        distance.dot(a, b).alias("dot"), distance.squared_norm(a).alias("na"), distance.squared_direct(a, b).alias("d"),
-        distance.squared_expanded(distance.squared_norm(a), distance.squared_norm(a), distance.dot(a, a)).alias("same"),
-        distance.squared_expanded(distance.squared_norm(a), distance.squared_norm(b), distance.dot(a, b)).alias("e"), distance.mean_of(b, F.lit(2)).alias("mean"),
-    ).first()
-    assert (row["dot"], row["na"], row["d"], row["same"], row["e"], row["mean"]) == (16.0, 5.0, 25.0, 0.0, 25.0, [2.0, 3.0])
+    row = df.select(distance.squared_norm(F.col("a")).alias("n"), distance.mean_of(F.col("b"), F.lit(2)).alias("mean")).first()
+    assert (row["n"], row["mean"]) == (5.0, [2.0, 3.0])
+
+
+def test_memory_ratio_changes_blocks_and_not_results(spark, monkeypatch):
+    monkeypatch.setattr(knn, "POINT_BYTES", 40 * 24)
+    monkeypatch.setattr(knn, "QUERY_BYTES", 40 * 24)
+    assert knn.block_counts(40, 40, 3, 1.0) == (1, 1) and knn.block_counts(40, 40, 3, 0.1) == (10, 10) and knn.block_counts(5, 5, 10**9, 0.1) == (5, 5)
+    rows = np.random.default_rng(7).random((40, 3))
+    for ratio in (0.1, 1.0):
+        assert_same(rows_of(knn.knn_search(frame(spark, rows), frame(spark, rows), 3, mode="blocks", memory_ratio=ratio)), brute(rows, rows, 3))
 
 
 @pytest.mark.parametrize("value", ["dot", "expanded", "direct", "distance"])

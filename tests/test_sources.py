@@ -6,7 +6,7 @@ import pytest
 
 from nearfield.operators import knn
 from nearfield.sources import vectors
-from nearfield.streaming.knn_stream import knn_stream
+from nearfield.streaming.knn_stream import knn_batches, knn_stream
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -45,7 +45,7 @@ def test_vectors(spark):
     assert sorted((r["id"], r["split"]) for r in both.collect()) == [(i, "train") for i in range(5)] + [(5, "test"), (6, "test")]
     assert all(0 <= x < 1 for r in both.collect() for x in r["v"])
     with pytest.raises(ValueError):
-        vectors.dimension(train.limit(0))
+        vectors.shape(train, train.limit(0))
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -74,3 +74,14 @@ def test_library_stands_alone(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
     assert int(said.stdout.split()[0]) >= 29
+
+
+def test_stream_of_queries_by_batches(spark, tmp_path):
+    points = vectors.random_vectors(spark, 40, 3)
+    vectors.random_vectors(spark, 10, 3, seed=2).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, v array<double>").parquet(f"{tmp_path}/in")
+    write = lambda rows, number: rows.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={number}")
+    knn_batches(stream, points, 3, write).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").select("query_id", "rank", "neighbor_id")
+    expected = knn.knn_search(spark.read.parquet(f"{tmp_path}/in"), points, 3).select("query_id", "rank", "neighbor_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
