@@ -104,6 +104,33 @@ def by_key(key: str, work: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
     return run
 
 
+def by_whole_keys(key: str, work: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
+    """mapInArrow function over rows sorted by an integer key: calls ``work`` with the rows of all whole keys at hand.
+
+    For many small keys: the rows of one key, beside the batch at hand, are held at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table, keys = pa.Table.from_batches([batch]), long_values(batch.column(key))
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            if cut or keys[0] != last:
+                whole = held + [table.slice(0, cut)]
+                if sum(t.num_rows for t in whole):
+                    yield from work(pa.concat_tables(whole).combine_chunks())
+                held = []
+            held.append(table.slice(cut))
+            last = keys[-1]
+        if held:
+            yield from work(pa.concat_tables(held).combine_chunks())
+
+    return run
+
+
 def nearest_rows(asked: np.ndarray, names: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, keep_self: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest points of each asked row: names, ids and Euclidean distances, nearest first, ties to the smaller id.
 
