@@ -16,8 +16,8 @@ The chain is not walked word by word: a batch of texts is one long chain with re
 document, cut into strips that advance side by side; strip products of two-by-two matrices carry the
 state across, so results are exact for texts of any length.
 
-The fit uses at most about ``max_rows`` labelled documents of either kind, picked by a hash of
-doc_id. Defined results: a null or empty text has no words, no spans and the score of no evidence;
+The fit uses at most about ``max_rows`` toxic and twice as many clean labelled documents and
+``max_bytes`` of their text, picked by a hash of doc_id. Defined results: a null or empty text has no words, no spans and the score of no evidence;
 rows without a label or with a null doc_id are scored and not learned from; of several labels of one
 document the largest counts; with labels of one kind, or none, every score is the share of ones (0
 without labels); an empty table gives no rows; other columns are ignored.
@@ -25,6 +25,7 @@ without labels); an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,9 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield import scratch
+from nearfield.functions import arrow as A
 from nearfield.llm import textbatch as tb
 
 MAX_ROWS = 1000
+MAX_BYTES = 16 << 20
 #: The ratio statistic of a feature without bearing exceeds 24 about once in a million.
 MIN_LIFT, MIN_EVIDENCE = 6.0, 24.0
 #: Lengths in bytes of the beginnings of longer words that are features.
@@ -180,21 +183,20 @@ def seeds(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return feature[(feature > 0) & (n / total >= MIN_LIFT * (seen + 0.5) / others) & (evidence >= MIN_EVIDENCE)]
 
 
-def fit(words: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """``words``: the feature hashes of each training document; ``toxic``: 0 or 1 for each."""
+def fit(every: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> Model:
+    """``every``: the feature hashes of all training words; ``first``: first word of each document (n+1); ``toxic``: 0 or 1 for each."""
     none = np.zeros(0, np.uint64)
     flat_pair, flat_start = np.full((2, 2), 0.5), np.full(2, 0.5)
-    if not len(words) or toxic.min() == toxic.max():
-        return Model(none, np.zeros(0), 0.0, flat_pair, flat_start, np.zeros(4), float(toxic.mean()) if len(words) else 0.0)
-    seed = seeds(words, toxic)
-    first = np.concatenate(([0], np.cumsum([len(w) for w in words])))
-    every = np.concatenate(words)
-    owner = np.repeat(np.arange(len(words)), np.diff(first))
+    if not len(toxic) or toxic.min() == toxic.max():
+        return Model(none, np.zeros(0), 0.0, flat_pair, flat_start, np.zeros(4), float(toxic.mean()) if len(toxic) else 0.0)
+    seed = seeds([every[a:b] for a, b in itertools.pairwise(first)], toxic)
+    owner = np.repeat(np.arange(len(toxic)), np.diff(first))
     y = np.isin(every, seed).any(axis=1) & (toxic[owner] == 1)
     keys, index, count = np.unique(every, return_inverse=True, return_counts=True)
     kept = ((count >= 3) | np.isin(keys, seed)) & (keys > 0)
-    row = np.where(kept, np.cumsum(kept) - 1, int(kept.sum()))[index].reshape(every.shape)
+    row = np.where(kept, np.cumsum(kept) - 1, int(kept.sum())).astype(np.int32)[index].reshape(every.shape)
     keys = keys[kept]
+    del index, count
     inner = np.ones(len(every), bool)
     inner[first[:-1][np.diff(first) > 0]] = False
     after = np.flatnonzero(inner)
@@ -240,30 +242,28 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = tb.as_bytes(batch.column("text"))
-        for lo, hi in tb.steps(offsets):
-            hashes, _, _, first = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            raw = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((first * hashes.shape[1] * 8).astype(np.int32)), pa.py_buffer(hashes)])
-            yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), raw], names=["doc_id", "y", "words"])
+def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """Fit on rows of ``labels`` (doc_id, toxic) for which ``learn``, over doc_id, holds.
 
-
-def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on rows of ``labels`` (doc_id, toxic) for which ``learn``, over doc_id, holds: at most about ``max_rows`` of either kind."""
+    At most about ``max_rows`` toxic and twice as many clean documents are used, each of at most a
+    sixteenth of ``max_bytes`` and together of about ``max_bytes`` of text.
+    """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
     named = named.groupBy("doc_id").agg(F.max("y").alias("y"))
     if learn is not None:
         named = named.filter(learn)
     named = scratch.materialize(named, "labels")
     count = {r["y"]: r["n"] for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    draw = F.xxhash64(F.lit(11), "doc_id").cast("double") / 2.0**64 + 0.5
-    share = F.when(F.col("y") == 1, max_rows / max(1, count.get(1, 0))).otherwise(max_rows / max(1, count.get(0, 0)))
-    picked = scratch.materialize(named.filter(draw < share), "picked")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(scratch.small_side(picked), "doc_id")
-    table = scratch.materialize(rows.mapInArrow(_hash_rows, "doc_id long, y int, words binary"), "training").orderBy("doc_id").toArrow()
-    words = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 1 + len(STEMS)) for x in table.column("words")]
-    return fit(words, table.column("y").to_numpy().astype(np.int64))
+    draw = lambda seed: F.xxhash64(F.lit(seed), "doc_id").cast("double") / 2.0**64 + 0.5
+    share = F.when(F.col("y") == 1, max_rows / max(1, count.get(1, 0))).otherwise(2 * max_rows / max(1, count.get(0, 0)))
+    picked = scratch.materialize(named.filter(draw(11) < share), "picked")
+    size = F.octet_length("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull() & (size <= max_bytes // 16)).join(scratch.small_side(picked), "doc_id")
+    rows = scratch.materialize(rows, "training")
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    table = rows.filter(draw(12) < max_bytes / max(1, total)).orderBy("doc_id").toArrow()
+    hashes, _, _, first = tokens(*tb.as_bytes(table.column("text")))
+    return fit(hashes, first, table.column("y").to_numpy().astype(np.int64))
 
 
 def tag(model: Model):
@@ -293,4 +293,4 @@ def tag(model: Model):
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, toxic_words and spans of every row of ``docs`` (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tag(model), SCORED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(A.frugal(tag(model)), SCORED)
