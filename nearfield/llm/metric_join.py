@@ -8,8 +8,8 @@ Pivots are drawn by hash, about one for ``CELL_ROWS`` classes and at most ``MAX_
 only thing that is broadcast, and of bounded size. A vector's home is the cell of its nearest pivot.
 If x has home i and y is within eps of x, the triangle inequality gives d(y, p_i) <= d(y, p_k) + 2 eps
 for every pivot k, and in Euclidean space d(y, p_i)^2 - d(y, p_k)^2 <= 2 eps d(p_i, p_k). A vector is
-replicated as a guest into every cell before its home that passes both tests; so each linked pair
-meets in exactly one cell, the earlier of their homes.
+replicated as a guest into every cell before its home that passes both tests, the second for the
+pivots nearest to it; so each linked pair meets in exactly one cell, the earlier of their homes.
 
 Cells join independently. A cell is a grid of pairs of blocks of at most about ``BLOCK_ROWS`` vectors,
 home against home and home against guests, and each pair of blocks is a unit of its own with a hash of
@@ -40,6 +40,8 @@ from nearfield.llm.components import components
 CELL_ROWS = 2048
 MAX_PIVOTS = 2048
 BLOCK_ROWS = 1024
+#: Pivots whose bounds a vector is tested against, and distances to pivots that are held at once.
+NEAR_PIVOTS, ROUTE_CELLS = 16, 2_000_000
 #: Slack on bounds, far above rounding errors of unit vectors.
 SLACK = 1e-9
 KEY = ["grp", "h1", "h2"]
@@ -82,14 +84,7 @@ def route(pivots: dict[int, list[np.ndarray]], eps: float):
                     here = grp[rows] == g
                     m, own = matrix[here], rows[here]
                     if g in tables:
-                        near = np.maximum(0, 2 - 2 * m @ tables[g].T)
-                        home = near.argmin(axis=1)
-                        far = np.sqrt(near)
-                        send = far <= far.min(axis=1, keepdims=True) + 2 * eps + SLACK
-                        for k in range(near.shape[1]):
-                            send &= near - near[:, k : k + 1] <= 2 * eps * apart[g][:, k] + SLACK
-                        send &= np.arange(near.shape[1]) < home[:, None]
-                        at, cell = np.nonzero(send)
+                        home, at, cell = _cells_of(m, tables[g], apart[g], eps)
                         at, cell = np.concatenate((np.arange(len(m)), at)), np.concatenate((home, cell))
                     else:
                         at, cell = np.arange(len(m)), np.zeros(len(m), int)
@@ -102,6 +97,30 @@ def route(pivots: dict[int, list[np.ndarray]], eps: float):
     return run
 
 
+def _cells_of(m: np.ndarray, pivots: np.ndarray, apart: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Homes of unit vectors, and their guest cells as (row, cell); steps are of bounded size.
+
+    The bound by d(p_i, p_k) is tested for the NEAR_PIVOTS pivots k nearest to a vector, where it cuts
+    most; each test alone is necessary for a link, so fewer tests only make more guests.
+    """
+    homes, rows, cells = [], [], []
+    step = max(1, ROUTE_CELLS // len(pivots))
+    few = min(NEAR_PIVOTS, len(pivots))
+    for lo in range(0, len(m), step):
+        near = np.maximum(0, 2 - 2 * m[lo : lo + step] @ pivots.T)
+        home = near.argmin(axis=1)
+        least = np.sqrt(near[np.arange(len(near)), home]) + 2 * eps + SLACK
+        row, cell = np.nonzero((near <= (least * least)[:, None]) & (np.arange(len(pivots)) < home[:, None]))
+        closest = np.argpartition(near, few - 1, axis=1)[:, :few]
+        ok = np.ones(len(row), bool)
+        for k in closest.T:
+            ok &= near[row, cell] - near[row, k[row]] <= 2 * eps * apart[cell, k[row]] + SLACK
+        homes.append(home)
+        rows.append(row[ok] + lo)
+        cells.append(cell[ok])
+    return np.concatenate(homes), np.concatenate(rows), np.concatenate(cells)
+
+
 def units(routed: DataFrame) -> DataFrame:
     """Rows of ``routed`` dealt to units: unit, side (0, 1), same, id, w, v. Each unit is one pair of blocks of a cell."""
     count = routed.groupBy("grp", "cell").agg(
@@ -163,8 +182,7 @@ def join_unit(least: float):
 def near_vectors(df: DataFrame, cosine: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``df`` (vec_id, embedding, label)."""
     rows = scratch.materialize(_grouped(df), "vectors")
-    classes = rows.groupBy(*KEY).agg(F.min("id").alias("id"), F.count("*").alias("w"))
-    reps = rows.join(classes.withColumnRenamed("id", "rep"), KEY).filter("id = rep").dropDuplicates(KEY).select("grp", "id", "w", "v", "h1", "h2")
+    reps = rows.groupBy(*KEY).agg(F.min("id").alias("id"), F.count("*").alias("w"), F.any_value("v").alias("v"))
     reps = scratch.materialize(reps, "classes")
     eps = math.sqrt(max(0.0, 2 - 2 * cosine))
     routed = scratch.materialize(reps.select("grp", "id", "w", "v").mapInArrow(route(pivot_table(reps), eps), ROUTED), "routed")
