@@ -19,14 +19,20 @@ def test_query_equals_sql(name, same):
     same(queries.queries()[name], sql.ORACLES[name])
 
 
-@pytest.mark.parametrize(("query", "label", "least"), [(queries.op3_quality, "quality", 0.95), (queries.op5_toxicity, "toxic", 0.93)])
-def test_held_out_accuracy(spark, query, label, least):
-    sf_dir = "/root/testdata/sf0.01"
+@pytest.mark.parametrize(("query", "label", "least", "recall", "auc", "size"), [(queries.op3_quality, "quality", 0.95, 0.95, 0.99, "sf0.01"), (queries.op5_toxicity, "toxic", 0.98, 0.88, 0.95, "sf0.1")])
+def test_held_out_figures(spark, query, label, least, recall, auc, size):
+    """Accuracy, share of ones found, and area under the curve on rows that were not learned from."""
+    sf_dir = f"/root/testdata/{size}"
     got = query(spark, sf_dir)
     rows = got.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
     assert np.mean([r["predicted"] == r[label] for r in rows]) >= least
+    ones = [r["score"] for r in rows if r[label] == 1]
+    zeros = np.sort([r["score"] for r in rows if r[label] == 0])
+    assert np.mean([r["predicted"] for r in rows if r[label] == 1]) >= recall
+    both = np.searchsorted(zeros, ones, side="left") + np.searchsorted(zeros, ones, side="right")
+    assert both.mean() / (2 * len(zeros)) >= auc
 
 
 def test_isotonic_is_the_least_squares_rising_fit():

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.llm import ann, metric_join, queries
 
@@ -61,12 +62,15 @@ def brute(rows, query, k):
     return sorted((d, metric_join.vec.LAST_ID if i is None else i) for (i, d) in best)[:k]
 
 
-def test_nearest_is_exact_with_all_probes(spark, monkeypatch):
+@pytest.mark.parametrize(("parts", "probes", "large"), [(1, 32, 20_000), (2, 1024, 20_000), (1, 32, 0)])
+def test_nearest_is_exact_with_all_probes(spark, monkeypatch, parts, probes, large):
     monkeypatch.setattr(ann, "SLICE_ROWS", 20)
+    monkeypatch.setattr(ann, "LARGE_CELL", large)
+    monkeypatch.setattr(ann, "PAIR_ROWS", 50)
     rows = vectors()
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = {}
-    for r in ann.nearest(df, df.filter("vec_id % 10 = 0"), k=6, tables=1, probes=32).collect():
+    for r in ann.nearest(df, df.filter("vec_id % 10 = 0"), k=6, tables=1, probes=probes, parts=parts).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["score"], metric_join.vec.LAST_ID if r["vec_id"] is None else r["vec_id"]))
     asked = [r for r in rows if r[0] is not None and r[0] % 10 == 0 and fine(r[1])]
     assert set(got) == {r[0] for r in asked}
@@ -94,17 +98,44 @@ def test_recall(spark):
     assert hits / total >= 0.9
 
 
-def test_several_parts(spark, monkeypatch):
-    """A chain of rotations per table, as large indexes use, still finds near neighbours."""
-    monkeypatch.setattr(ann, "BUCKET_ROWS", 4)
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_several_parts(spark, parts):
+    """Chains of rotations find near neighbours, and a vector's own copies."""
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
     m = np.concatenate([base + 0.05 * rng.normal(size=base.shape) for _ in range(10)])
     df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(m)], SCHEMA)
-    found = ann.nearest(df, df.filter("vec_id < 40"), k=5, tables=6, probes=6).collect()
+    found = ann.nearest(df, df.filter("vec_id < 40"), k=5, tables=6, probes=6**parts, parts=parts).collect()
     assert np.mean([r["vec_id"] % 40 == r["query_id"] % 40 for r in found]) > 0.95
 
 
+def test_vector_operators_ignore_clashing_names(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)], 0) for i in range(20)], SCHEMA)
+    odd = df
+    for name in ("id", "v", "bucket", "cell", "grp", "h1", "w", "unit"):
+        odd = odd.withColumn(name, F.lit(f"my {name}"))
+    for operator in (lambda d: ann.nearest(d, d.filter("vec_id < 5"), k=3), lambda d: metric_join.near_vectors(d, 0.8)):
+        assert sorted(map(tuple, operator(df).collect())) == sorted(map(tuple, operator(odd).collect()))
+
+
+def test_routing_steps_agree(monkeypatch):
+    """Guests do not depend on the size of a step, and every linked pair meets in the earlier home."""
+    rng = np.random.default_rng(8)
+    m, eps = metric_join.vec.unit(rng.normal(size=(300, 6))), 0.4
+    pivots = m[:40]
+    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+    home, row, cell = metric_join._cells_of(m, pivots, apart, eps)
+    monkeypatch.setattr(metric_join, "ROUTE_CELLS", 100)
+    again = metric_join._cells_of(m, pivots, apart, eps)
+    assert all((x == y).all() for x, y in zip((home, row, cell), again, strict=True))
+    guests = set(zip(row.tolist(), cell.tolist(), strict=True))
+    near = np.sqrt(np.maximum(0, 2 - 2 * m @ m.T)) <= eps
+    for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        first, later = (x, y) if home[x] <= home[y] else (y, x)
+        assert home[x] == home[y] or (later, home[first]) in guests
+
+
 def test_rotation_keeps_lengths_and_fewer_rows_than_k(spark):
     x = np.random.default_rng(1).normal(size=(5, 11))
     assert np.allclose(np.linalg.norm(ann.rotation(x, 3, 0), axis=1), np.linalg.norm(x, axis=1))
