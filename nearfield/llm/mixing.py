@@ -27,6 +27,8 @@ from nearfield import scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 RANK_BINS = 4096
+#: Rank order within a source.
+ORDER = ("_key", "doc_id", "size", "key")
 
 
 def word_count(text: Column) -> Column:
@@ -69,25 +71,23 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
     return rows.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def pareto_mix(sized: DataFrame, targets: DataFrame, max_repeats: int = 3, weight_col: str | None = None, seed: str = "") -> DataFrame:
-    """Rows of ``sized`` (doc_id, key, source, size) with source_size, target, copies and taken = copies * size.
+def _ranked(rows: DataFrame, max_repeats: int, seed: str) -> DataFrame:
+    """Rows (key, size, target, _w, _mass) with _whole, the copies allocated for certain, and _key, the rank in (0, 1) of those with inclusion odds besides."""
+    expected = F.when((F.col("size") > 0) & (F.col("_mass") > 0), F.least(F.lit(float(max_repeats)), F.col("_w") * F.col("target") / F.col("_mass"))).otherwise(0.0)
+    rows = rows.withColumn("_e", expected).withColumn("_whole", F.floor("_e").cast("long")).withColumn("_p", F.col("_e") - F.col("_whole"))
+    u = uniform(F.col("key"), seed)
+    odds = (u / (1 - u)) * ((1 - F.col("_p")) / F.col("_p"))
+    return rows.withColumn("_key", F.when(F.col("_p") > 0, odds / (1 + odds))).drop("_e", "_p")
 
-    With ``weight_col`` (positive; null counts as 1) expected copies are proportional to it within a
-    source, stopped at ``max_repeats``; a source then falls short of its target only where every
-    document with inclusion odds is taken. ``targets`` has one row per source, and the sums by bin at
-    most RANK_BINS; either is broadcast if it is measured to be small.
-    """
+
+def _decided(sized: DataFrame, targets: DataFrame, max_repeats: int, weight_col: str | None, seed: str) -> DataFrame:
+    """Rows of ``sized`` with source_size, target, _mass, _whole, _key and _extra (1 for one more copy)."""
     weight = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0))
     rows = sized.withColumn("_w", weight)
     mass = rows.groupBy("source").agg(F.sum(F.col("_w") * F.col("size")).alias("_mass"))
     t = targets.join(mass.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_source")
     t = scratch.small_side(scratch.materialize(t, "targets_and_mass"))
-    rows = rows.join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    expected = F.when((F.col("size") > 0) & (F.col("_mass") > 0), F.least(F.lit(float(max_repeats)), F.col("_w") * F.col("target") / F.col("_mass"))).otherwise(0.0)
-    rows = rows.withColumn("_e", expected).withColumn("_whole", F.floor("_e").cast("long")).withColumn("_p", F.col("_e") - F.col("_whole"))
-    u = uniform(F.col("key"), seed)
-    odds = (u / (1 - u)) * ((1 - F.col("_p")) / F.col("_p"))
-    rows = rows.withColumn("_key", F.when(F.col("_p") > 0, odds / (1 + odds)))
+    rows = _ranked(rows.join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"), max_repeats, seed)
     rows = rows.withColumn("_bin", F.least(F.lit(RANK_BINS - 1), F.floor(F.col("_key") * RANK_BINS)).cast("int"))
     by_bin = rows.groupBy("source", "_bin").agg(F.sum(F.when(F.col("_key").isNotNull(), F.col("size")).otherwise(0)).alias("_words"), F.sum(F.col("_whole") * F.col("size")).alias("_sure"), F.max("target").alias("_t"))
     in_source = Window.partitionBy("source")
@@ -99,14 +99,24 @@ def pareto_mix(sized: DataFrame, targets: DataFrame, max_repeats: int = 3, weigh
     rows = rows.join(by_bin, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("_bin") == F.col("_bb")), "left")
     sure = F.col("_to") <= F.col("_rest")
     edge = (F.col("_from") < F.col("_rest")) & (F.col("_to") > F.col("_rest"))
-    place = Window.partitionBy("source", "_bin").orderBy("_key", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = Window.partitionBy("source", "_bin").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_state", F.when(F.col("_key").isNull(), 0).when(sure, 1).when(edge, 2).otherwise(0))
     clear = rows.filter(F.col("_state") != 2).withColumn("_extra", F.col("_state"))
     ends = F.col("_from") + F.sum("size").over(place)
     crossing = rows.filter(F.col("_state") == 2).withColumn("_extra", F.when(2 * ends - F.col("size") <= 2 * F.col("_rest"), 1).otherwise(0))
-    out = clear.unionByName(crossing).withColumn("copies", (F.col("_whole") + F.col("_extra")).cast("long"))
-    out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("_w", "_mass", "_e", "_whole", "_p", "_key", "_bin", "_bs", "_bb", "_from", "_to", "_rest", "_state", "_extra")
+    return clear.unionByName(crossing).drop("_w", "_bin", "_bs", "_bb", "_from", "_to", "_rest", "_state")
+
+
+def pareto_mix(sized: DataFrame, targets: DataFrame, max_repeats: int = 3, weight_col: str | None = None, seed: str = "") -> DataFrame:
+    """Rows of ``sized`` (doc_id, key, source, size) with source_size, target, copies and taken = copies * size.
+
+    With ``weight_col`` (positive; null counts as 1) expected copies are proportional to it within a
+    source, stopped at ``max_repeats``; a source then falls short of its target only where every
+    document with inclusion odds is taken. ``targets`` has one row per source, and the sums by bin at
+    most RANK_BINS; either is broadcast if it is measured to be small.
+    """
+    out = _decided(sized, targets, max_repeats, weight_col, seed).withColumn("copies", (F.col("_whole") + F.col("_extra")).cast("long"))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_mass", "_whole", "_key", "_extra")
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
@@ -124,13 +134,20 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share:
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeats: int = 3, seed: str = "") -> DataFrame:
     """Rows of ``docs``, each as often as the mix takes it, with their own columns.
 
-    Rows are matched by doc_id (or text, where that is null), source and size; those that agree in all
-    three share a random number and are taken alike, as often as the one of them that is taken most.
+    The sample is told by one row per source: its target, and the last place in rank order that is
+    taken. A document's rank follows from its own row, so texts are not shuffled. Rows that agree in
+    doc_id (or text, where that is null), source and size share a rank and are taken alike, as often as
+    the one of them that is taken most.
     """
-    mixed = mix_documents(docs.select("doc_id", "source", "text"), weights, share, max_repeats, seed)
-    copies = mixed.groupBy("key", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    copies = scratch.materialize(copies.select(F.col("key").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies"), "copies")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("d"), F.col("source").alias("s"), word_count(F.col("text")).alias("z"))
-    same = (F.col("d") == F.col("_d")) & F.col("s").eqNullSafe(F.col("_s")) & (F.col("z") == F.col("_z"))
-    rows = rows.join(scratch.small_side(copies), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    sized = sized_documents(docs.select("doc_id", "source", "text"))
+    targets = scratch.materialize(source_targets(sized, weights, share, max_repeats), "targets")
+    last = F.max(F.when(F.col("_extra") == 1, F.struct(*ORDER))).alias("last")
+    per_source = _decided(sized, targets, max_repeats, None, seed).groupBy("source").agg(F.max("target").alias("target"), F.max("_mass").alias("_mass"), last)
+    per_source = scratch.small_side(scratch.materialize(per_source.withColumnRenamed("source", "_source"), "last_taken"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, "doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "source", word_count(F.col("text")).alias("size"), F.lit(1.0).alias("_w"))
+    rows = _ranked(rows.join(per_source, F.col("source").eqNullSafe(F.col("_source"))), max_repeats, seed)
+    extra = F.when(F.col("_key").isNotNull() & F.col("last").isNotNull() & (F.struct(*ORDER) <= F.col("last")), 1).otherwise(0)
+    rows = rows.select("row", (F.col("_whole") + extra).cast("int").alias("copies")).filter("copies > 0")
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -184,8 +184,8 @@ def pack_lengths(count: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of ``docs`` (doc_id, text)."""
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut_pieces(tokenizer_path, capacity), PIECES)
-    pieces = scratch.materialize(pieces, "pieces")
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(A.frugal(cut_pieces(tokenizer_path, capacity)), PIECES)
+    pieces = scratch.materialize(pieces, "pieces", scratch.TEXT_ROWS)
     sizes = pieces.groupBy("length").agg(F.count("*").alias("n"))
     count = np.zeros(capacity + 1, np.int64)
     for row in sizes.collect():

@@ -212,11 +212,11 @@ def fit(train: DataFrame) -> Model:
 
 def document_stats(docs: DataFrame) -> DataFrame:
     """doc_id and statistics (x, float32 bytes) of every row; texts are read once."""
-    return scratch.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stat_rows, "doc_id long, x binary"), "stats")
+    return scratch.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(A.frugal(_stat_rows), "doc_id long, x binary"), "stats", scratch.TEXT_ROWS)
 
 
-def train_quality(stats: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on labelled rows (``labels``: doc_id, quality) for which ``learn``, over doc_id, holds; at most about ``max_rows`` of them."""
+def chosen_labels(labels: DataFrame, learn: Column | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+    """doc_id, y of the rows of ``labels`` (doc_id, quality) to learn from: those for which ``learn``, over doc_id, holds; at most about ``max_rows``."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
     named = named.groupBy("doc_id").agg(F.max("y").alias("y"))
     if learn is not None:
@@ -226,7 +226,25 @@ def train_quality(stats: DataFrame, labels: DataFrame, learn: Column | None = No
     draw = lambda seed: F.xxhash64(F.lit(seed), "doc_id").cast("double") / 2.0**64 + 0.5
     if share < 1:
         named = scratch.materialize(named.filter(draw(1) < share), "labels")
-    return fit(stats.join(scratch.small_side(named), "doc_id").select("x", "y", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")))
+    return named
+
+
+def train_quality(stats: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = MAX_ROWS) -> Model:
+    """Fit on rows of ``stats`` that ``chosen_labels`` names."""
+    named = chosen_labels(labels, learn, max_rows)
+    return _fit_named(stats, named)
+
+
+def _fit_named(stats: DataFrame, named: DataFrame) -> Model:
+    fold = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(FOLDS)).cast("int")
+    return fit(stats.join(scratch.small_side(named), "doc_id").select("x", "y", fold.alias("fold")))
+
+
+def train_on_texts(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = MAX_ROWS) -> Model:
+    """Fit on rows of ``docs`` (doc_id, text) that ``chosen_labels`` names; only their statistics are taken."""
+    named = chosen_labels(labels, learn, max_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(scratch.small_side(named.select("doc_id")), "doc_id", "left_semi")
+    return _fit_named(document_stats(rows), named)
 
 
 def scored(stats: DataFrame, model: Model) -> DataFrame:
@@ -247,6 +265,8 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     def score(text: pa.Array) -> pa.Array:
         data, offsets = tb.as_bytes(text)
         parts = [statistics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).astype(np.float32) for lo, hi in tb.steps(offsets)]
-        return pa.array(model.score(np.concatenate(parts).astype(np.float64)) if parts else np.zeros(0))
+        found = pa.array(model.score(np.concatenate(parts).astype(np.float64)) if parts else np.zeros(0))
+        A.give_back()
+        return found
 
     return docs.withColumn("quality_score", score(F.col("text")))
