@@ -22,8 +22,7 @@ LEAST_QUALITY = 0.7
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the labels of the input's rows."""
-    stats = quality.document_stats(docs)
-    model = quality.train_quality(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = quality.train_on_texts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text")
     kept = quality.score_texts(rows, model).filter(F.col("quality_score") >= LEAST_QUALITY)
