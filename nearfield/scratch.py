@@ -81,8 +81,8 @@ def _beyond(value: Column, kind: T.DataType) -> Column:
 
 
 def memory_bytes(df: DataFrame) -> int:
-    """Bytes of a frame's rows in a hash table, counted over the frame in one job."""
-    width = sum((_beyond(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(32 + 8 * len(df.columns)).cast("long"))
+    """Bytes of a frame's rows in a hash table with room to grow, counted over the frame in one job."""
+    width = sum((_beyond(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(64 + 16 * len(df.columns)).cast("long"))
     return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
 
