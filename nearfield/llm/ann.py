@@ -130,7 +130,8 @@ def _probed(table: int, dim: int, images: list[np.ndarray], probes: int) -> np.n
         more, cost = axes(y, min(probes, width))
         total = missed[:, :, None] + cost[:, None, :]
         n, a, b = total.shape
-        pick = np.argsort(total.reshape(n, -1), axis=1, kind="stable")[:, :probes]
+        few = min(probes, a * b)
+        pick = np.argpartition(total.reshape(n, -1), few - 1, axis=1)[:, :few]
         i, j = pick // b, pick % b
         missed = np.take_along_axis(total.reshape(n, -1), pick, axis=1)
         chosen = np.concatenate((np.take_along_axis(chosen, i[:, :, None], axis=1), np.take_along_axis(more, j, axis=1)[:, :, None]), axis=2)
@@ -218,7 +219,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES
     buckets = (2 << (shape["dim"] - 1).bit_length()) ** parts
     probes = probes or min(buckets, math.ceil(buckets * max(SHARE, LEAST_ROWS / max(1, shape["n"]))))
     index = scratch.materialize(points.mapInArrow(A.frugal(place(tables, parts, dtype)), PLACED), "index")
-    probed = scratch.materialize(asked.mapInArrow(A.frugal(probe(tables, parts, probes)), "bucket long, id long"), "probes")
+    spread = asked.repartition(asked.sparkSession.sparkContext.defaultParallelism, "id", F.xxhash64("v"))
+    probed = scratch.materialize(spread.mapInArrow(A.frugal(probe(tables, parts, probes)), "bucket long, id long"), "probes")
     pack = lambda rows: rows.withColumn("bucket", F.size("v").cast("long")).select("bucket", "id", "v").mapInArrow(_packed(dtype), PLACED)
     vectors = scratch.materialize(pack(asked).select("id", "v"), "query_vectors")
     best = F.slice(F.sort_array(F.collect_set(F.struct("score", "vec_id"))), 1, k)
