@@ -90,8 +90,11 @@ def memory_bytes(df: DataFrame) -> int:
 BROADCAST_BYTES = 8 << 20
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a materialized frame is measured to be small enough in memory for a broadcast."""
+    return size_bytes(df) <= BROADCAST_BYTES and memory_bytes(df) <= BROADCAST_BYTES
+
+
 def small_side(df: DataFrame) -> DataFrame:
-    """Hint a broadcast of a materialized frame if its rows are measured to be small in memory; beyond that the join shuffles, and AQE splits hot keys."""
-    if size_bytes(df) <= BROADCAST_BYTES and memory_bytes(df) <= BROADCAST_BYTES:
-        return df.hint("broadcast")
-    return df.hint("merge")
+    """Hint a broadcast of a materialized frame if it is small; beyond that the join shuffles, and AQE splits hot keys."""
+    return df.hint("broadcast" if is_small(df) else "merge")
