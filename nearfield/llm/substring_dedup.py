@@ -41,13 +41,14 @@ from pyspark.sql import functions as F
 from nearfield import scratch
 from nearfield.functions import arrow as A
 from nearfield.llm import textbatch as tb
+from nearfield.llm.sieve import flagged
 
 WINDOW_WORDS = 50
 ANCHOR_WORDS = 16
 LAST_ID = 2**63 - 1
 DOC = ["doc", "th"]
 BLOCK = "doc long, th long, a long, b long, start int, n int"
-PROBE = "a long, b long, doc long, th long, j int, at int, w long"
+PROBE = "a long, b long, doc long, j int, w long"
 FACTORS = "doc long, th long, factors array<struct<start: int, length: int, doc: long, th: long, at: int>>"
 
 
@@ -94,7 +95,7 @@ def block_table(length: int):
 
 
 def window_table(length: int):
-    """mapInArrow function: a, b, doc, th, j (place in the block), at (place in the text), w for each window of the listed blocks of a text."""
+    """mapInArrow function: a, b, doc, j (place in the block), w for each window of the listed blocks of a text."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +106,7 @@ def window_table(length: int):
             counts = lists.value_lengths().to_numpy(zero_copy_only=False)
             flat = lists.flatten()
             a, b, start, n = (A.long_values(flat.field(k)) for k in range(4))
-            doc, th = (A.long_values(batch.column(c)) for c in DOC)
+            doc = A.long_values(batch.column("doc"))
             upto = np.concatenate(([0], np.cumsum(counts)))
             for lo, hi in tb.steps(offsets):
                 part = data[offsets[lo] : offsets[hi]]
@@ -119,8 +120,8 @@ def window_table(length: int):
                 place = np.repeat(first[whose] + start[own], size) + j
                 w = tb.Runs(tb.word_hashes(part, starts, ends)).hashes(place, place + length)
                 yield pa.record_batch(
-                    [*(pa.array(np.repeat(x, size)) for x in (a[own], b[own], doc[lo + whose], th[lo + whose])), pa.array(j.astype(np.int32)), pa.array((np.repeat(start[own], size) + j).astype(np.int32)), _signed(w)],
-                    names=["a", "b", "doc", "th", "j", "at", "w"],
+                    [*(pa.array(np.repeat(x, size)) for x in (a[own], b[own], doc[lo + whose])), pa.array(j.astype(np.int32)), _signed(w)],
+                    names=["a", "b", "doc", "j", "w"],
                 )
 
     return windows
@@ -130,27 +131,45 @@ def references(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
     """doc, th, start, n, ref: runs of n windows of a document from ``start`` on, and the place in a smaller document that they copy."""
     keyed = _keyed(docs)
     blocks = scratch.materialize(keyed.filter("text is not null").mapInArrow(A.frugal(block_table(length)), BLOCK), "blocks", scratch.TEXT_ROWS)
-    place = F.struct(*DOC, F.col("start").alias("at"))
-    seen = blocks.groupBy("a").agg(F.min(place).alias("first"), F.max("doc").alias("hi"), F.min("b").alias("b1"), F.max("b").alias("b2"))
-    shared = scratch.materialize(seen.filter("first.doc < hi").select("a", "first", (F.col("b1") != F.col("b2")).alias("mixed")), "anchors")
-    found = scratch.materialize(blocks.join(scratch.small_side(shared), "a"), "found_blocks")
-    whole = found.filter(~F.col("mixed") & (F.col("doc") > F.col("first.doc"))).select(*DOC, "start", "n", F.col("first").alias("ref"))
-    mixed = found.filter("mixed").drop("mixed", "first")
+    seen = blocks.groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("b").alias("b1"), F.max("b").alias("b2"))
+    shared = scratch.materialize(seen.filter("lo < hi").select("a", "lo", (F.col("b1") != F.col("b2")).alias("mixed")), "anchors")
+    found = scratch.materialize(_matching(blocks, shared, ["a"]), "found_blocks")
+    place = F.struct("doc", "th", F.col("start").alias("at"))
+    plain = found.filter("not mixed")
+    first = scratch.materialize(plain.filter("doc = lo").groupBy("a").agg(F.min(place).alias("ref")), "first_places")
+    whole = plain.filter("doc > lo").select("a", *DOC, "start", "n").join(scratch.small_side(first), "a").select(*DOC, "start", "n", "ref")
+    mixed = found.filter("mixed").drop("mixed", "lo")
     index = scratch.materialize(mixed.groupBy("a", "b").agg(F.min(F.struct(*DOC, F.col("start").alias("at"), "n")).alias("r")), "index")
-    listed = index.groupBy(F.col("r.doc").alias("doc"), F.col("r.th").alias("th")).agg(F.collect_list(F.struct("a", "b", F.col("r.at").alias("start"), "r.n")).alias("blocks"))
-    listed = scratch.materialize(listed, "listed")
-    probes = keyed.join(scratch.small_side(listed), DOC).select(*DOC, "text", "blocks").mapInArrow(A.frugal(window_table(length)), PROBE)
-    probes = scratch.materialize(probes, "probes", scratch.TEXT_ROWS)
-    least = probes.groupBy("a", "w").agg(F.min(F.struct(*DOC, "at")).alias("ref"), F.max("doc").alias("hi")).filter("ref.doc < hi").select("a", "w", "ref")
-    ends = probes.select("a", "b", "doc", "j", "w").join(least, ["a", "w"]).filter("ref.doc < doc").groupBy("a", "b").agg(F.collect_list(F.struct("j", "ref")).alias("ends"))
-    held = mixed.join(scratch.small_side(scratch.materialize(index.select("a", "b", F.struct("r.doc", "r.th", "r.at").alias("m")), "places")), ["a", "b"])
-    held = scratch.materialize(held.join(scratch.small_side(scratch.materialize(ends, "ends")), ["a", "b"], "left"), "held")
+    ends = scratch.materialize(_boundary_windows(keyed, index, length).groupBy("a", "b", "doc").agg(F.collect_list(F.struct("j", "ref")).alias("ends")), "ends")
+    places = scratch.materialize(index.select("a", "b", F.struct("r.doc", "r.th", "r.at").alias("m")), "places")
+    held = mixed.join(scratch.small_side(places), ["a", "b"])
     copied = held.filter("doc > m.doc").select(*DOC, "start", "n", F.col("m").alias("ref"))
-    edges = held.filter("doc = m.doc and ends is not null").select(*DOC, "start", F.explode("ends").alias("e"))
+    edges = mixed.join(scratch.small_side(ends), ["a", "b", "doc"]).select(*DOC, "start", F.explode("ends").alias("e"))
     edges = edges.select(*DOC, (F.col("start") + F.col("e.j")).alias("start"), F.lit(1).alias("n"), F.col("e.ref").alias("ref"))
     return whole.unionByName(copied).unionByName(edges)
 
 
+def _matching(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join with a materialized side; if that is too large to broadcast, a bit filter keeps most rows without a partner out of the shuffle."""
+    if scratch.is_small(side):
+        return rows.join(side.hint("broadcast"), on)
+    return flagged(rows, side, on).filter("_may").drop("_may").join(side.hint("merge"), on)
+
+
+def _boundary_windows(keyed: DataFrame, index: DataFrame, length: int) -> DataFrame:
+    """a, b, doc, j, ref: the windows (place j) of distinct blocks, by their first document, that a smaller one holds in another block of the anchor."""
+    listed = index.groupBy(F.col("r.doc").alias("doc"), F.col("r.th").alias("th")).agg(F.collect_list(F.struct("a", "b", F.col("r.at").alias("start"), "r.n")).alias("blocks"))
+    listed = scratch.materialize(listed, "listed")
+    probes = _matching(keyed, listed, DOC).select("doc", "text", "blocks").mapInArrow(A.frugal(window_table(length)), PROBE)
+    probes = scratch.materialize(probes, "probes", scratch.TEXT_ROWS)
+    least = probes.groupBy("a", "w").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("a", "w", "lo")
+    met = scratch.materialize(_matching(probes, scratch.materialize(least, "shared"), ["a", "w"]), "shared_windows")
+    source = met.filter("doc = lo").groupBy("a", "w").agg(F.min(F.struct("b", "j")).alias("s")).select("a", "w", F.col("s.b").alias("b0"), F.col("s.j").alias("j0"))
+    source = source.join(scratch.small_side(index.select("a", F.col("b").alias("b0"), "r")), ["a", "b0"])
+    source = source.select("a", "w", F.struct("r.doc", "r.th", (F.col("r.at") + F.col("j0")).alias("at")).alias("ref"))
+    return met.filter("lo < doc").select("a", "b", "doc", "j", "w").join(scratch.small_side(scratch.materialize(source, "sources")), ["a", "w"]).select("a", "b", "doc", "j", "ref")
+
+
 def parse(length: int):
     """mapInArrow function: the greedy factors of each document from its referenced places."""
 
@@ -226,6 +245,12 @@ def substring_dedup(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
     """
     found = factors(docs.select("doc_id", "text"), length)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64("text").alias("th"))
-    rows = rows.join(scratch.small_side(found), DOC, "left").withColumn("cut", cut()(F.col("row.text"), F.col("factors")))
+    if scratch.is_small(found):
+        rows = rows.join(found.hint("broadcast"), DOC, "left")
+    else:  # texts without factors are not shuffled
+        rows = flagged(rows, found, DOC)
+        none = F.lit(None).cast(found.schema["factors"].dataType).alias("factors")
+        rows = rows.filter("not _may").select(*DOC, "row", none).unionByName(rows.filter("_may").join(found.hint("merge"), DOC, "left").select(*DOC, "row", "factors"))
+    rows = rows.withColumn("cut", cut()(F.col("row.text"), F.col("factors")))
     own = [F.col("cut.kept").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "dedup"]
     return rows.select(*own, F.struct("cut.n_words", "cut.n_removed", "cut.kept").alias("dedup"))

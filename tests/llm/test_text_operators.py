@@ -196,6 +196,29 @@ def test_factors_are_greedy_copies(spark, rows):
         assert covered == {k for k in range(len(w) - 49) if min(starts[tuple(w[k : k + 50])]) < key[0]}
 
 
+def test_passages_repeated_inside_a_document(spark):
+    """Parts of one passage, cut at different places and repeated inside documents and across rows of one doc_id."""
+    rng = random.Random(11)
+    passage = [f"p{rng.randrange(400)}" for _ in range(260)]
+    rows = [(1, " ".join(passage[:150]), "en", "a", 0), (2, " ".join(passage[60:]), "en", "a", 0)]
+    for i in range(3, 12):
+        body = []
+        for _ in range(3):
+            lo = rng.randrange(200)
+            body += passage[lo : lo + rng.randrange(40, 160)] + [f"f{i}_{rng.randrange(50)}" for _ in range(rng.randrange(1, 20))]
+        rows += [(i, " ".join(body * (1 + i % 2)), "en", "a", 0)] * (1 + (i % 4 == 0))
+        rows.append((i, " ".join(body[::-1] + body[:70]), "en", "a", 0))
+    test_substring_dedup(spark, rows)
+    test_factors_are_greedy_copies(spark, rows)
+
+
+def test_large_sides_are_sieved(spark, monkeypatch):
+    """The same results where nothing is small enough to broadcast."""
+    monkeypatch.setattr(substring_dedup.scratch, "BROADCAST_BYTES", 0)
+    for rows in CASES:
+        test_substring_dedup(spark, rows)
+
+
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
