@@ -40,6 +40,31 @@ def test_isotonic_is_the_least_squares_rising_fit():
     score, label = rng.random(40), rng.integers(0, 2, 40).astype(float)
     knots, levels = quality.isotonic(score, label)
     assert (np.diff(knots) >= 0).all() and (np.diff(levels) >= 0).all() and 0 < levels.min() <= levels.max() < 1
+    order = np.argsort(score)
+    s, y = score[order], label[order]
+    plain = np.array([max(min(y[j : k + 1].mean() for k in range(i, len(y))) for j in range(i + 1)) for i in range(len(y))])
+    pool = np.concatenate(([0], np.cumsum(np.abs(np.diff(plain)) > 1e-12)))
+    smooth = np.array([(y[pool == p].sum() + 0.5) / ((pool == p).sum() + 1) for p in pool])
+    assert np.allclose(np.interp(s, knots, levels), np.maximum.accumulate(smooth))
+
+
+def test_classifiers_take_long_texts_and_clashing_names(spark):
+    long = "word idiot! " * 300_000
+    rows = [(1, long), (2, "a b c"), (None, None), (3, ""), (2, "a b c")]
+    docs = spark.createDataFrame(rows, DOCS)
+    odd = docs
+    for name in ("x", "y", "fold", "score", "spans", "words", "row", "held_out"):
+        odd = odd.withColumn(name, F.lit(f"my {name}"))
+    named = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for d in (docs, odd):
+        stats = quality.document_stats(d)
+        model = quality.train_quality(stats, named)
+        scores = [r["score"] for r in quality.scored(stats, model).collect()]
+        assert len(scores) == 5 and all(0 <= x <= 1 for x in scores)
+        again = quality.score_texts(d, quality.train_on_texts(d, named)).collect()
+        assert len(again) == 5 and all(0 <= r["quality_score"] <= 1 for r in again)
+        tox = toxicity.score_toxicity(d, toxicity.train_toxicity(d, named)).collect()
+        assert len(tox) == 5 and all(0 <= r["score"] <= 1 for r in tox)
 
 
 def test_constant_models(spark):
