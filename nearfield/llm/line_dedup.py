@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield import scratch
+from nearfield.llm.sieve import flagged
 
 PRECISION = 12
 LINE = ["h1", "h2"]
@@ -82,11 +83,15 @@ def without_lines(text: Column, removed: Column) -> Column:
 def line_dedup(docs: DataFrame, min_sites: int = 10, stats: bool = False) -> DataFrame:
     """The documents without boilerplate lines. ``stats`` adds n_lines and n_removed (not blank, removed).
 
-    Input columns travel as one struct, so none of their names can clash with the operator's own.
+    Input columns travel as one struct, so none of their names can clash with the operator's own. Only
+    texts that lose lines, and a few more that share a bit of the filter with them, are shuffled.
     """
-    gone = removals(docs.select("doc_id", "text", "source"), min_sites).select(F.col("doc_id").alias("id"), "th", "removed")
+    gone = removals(docs.select("doc_id", "text", "source"), min_sites).select(F.col("doc_id").alias("of"), F.col("th").alias("key"), "removed")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("of"), F.xxhash64("text").alias("key"))
-    rows = rows.join(scratch.small_side(gone), F.col("of").eqNullSafe(F.col("id")) & (F.col("key") == F.col("th")), "left")
+    rows = flagged(rows, gone, ["of", "key"])
+    side = gone.select(F.col("of").alias("id"), F.col("key").alias("th"), "removed").hint("merge")
+    some = rows.filter("_may").join(side, F.col("of").eqNullSafe(F.col("id")) & (F.col("key") == F.col("th")), "left").select("row", "removed")
+    rows = some.unionByName(rows.filter("not _may").select("row", F.lit(None).cast("array<int>").alias("removed")))
     text = F.col("row.text")
     own = [without_lines(text, F.col("removed")).alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
     if stats:
