@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearfield.functions import arrow as A
 from nearfield.functions import distance
 from nearfield.operators import knn
 from nearfield.sources.vectors import normalize_vectors
@@ -125,3 +126,24 @@ def test_pair_distances(spark, value):
     rows = knn.pair_distances(frame(spark, q), frame(spark, c), value).collect()
     assert len(rows) == 63
     assert all(abs(r["value"] - expected[r["a"], r["b"]]) < 1e-9 for r in rows)
+
+
+@pytest.mark.parametrize("value", ["dot", "expanded", "direct", "distance"])
+def test_blocks_of_pairs_are_not_shuffled(spark, value, monkeypatch):
+    monkeypatch.setattr(knn, "POINT_BYTES", 2 * 8 * 3 * 5)
+    monkeypatch.setattr(knn, "QUERY_BYTES", 2 * 8 * 3 * 4)
+    rng = np.random.default_rng(6)
+    q, c = rng.random((23, 3)), rng.random((31, 3))
+    far = ((q[:, None] - c) ** 2).sum(axis=2)
+    expected = {"dot": q @ c.T, "expanded": far, "direct": far, "distance": np.sqrt(far)}[value]
+    df = knn.pair_distances(frame(spark, q), frame(spark, c), value, digits=3)
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()  # no row is repeated
+    rows = {(r["a"], r["b"]): r["value"] for r in df.collect()}
+    assert len(rows) == 23 * 31 and all(abs(v - expected[p]) <= 0.0005 + 1e-12 for p, v in rows.items())
+
+
+def test_rounding_and_differences():
+    x = np.array([0.5, -0.5, 1.25, -1.25, -0.01, 2.0**60, np.inf, 0.049999999999999996])
+    assert A.rounded(x, 1).tolist() == [0.5, -0.5, 1.3, -1.3, 0.0, 2.0**60, np.inf, 0.0] and not np.signbit(A.rounded(x, 1)[4])
+    q, c = np.random.default_rng(8).random((2, 1500, 5))
+    assert np.allclose(A.squared_differences(q[:37], c), ((q[:37, None] - c) ** 2).sum(axis=2), rtol=1e-12)
