@@ -5,9 +5,9 @@ physical forms give the same rows:
 
 * ``broadcast``: the points are one matrix that every task holds. Used only if its measured size is at
   most ``BROADCAST_BYTES``. The search is then a map over the queries, without a shuffle.
-* ``blocks``: both sides are dealt to blocks of bounded size by hash; each pair of blocks is a task's
-  unit, which keeps the k nearest of its points for each query, and a second aggregation merges them.
-  Nothing is broadcast, and no distance leaves a unit but those k.
+* ``blocks``: both sides are dealt to blocks of bounded size by hash, once. The blocks of points are
+  written out, one row each; a task has one block of queries, reads those of the points one after the
+  other and keeps the k nearest so far. Nothing is broadcast, and no row is shuffled more than once.
 """
 
 from __future__ import annotations
@@ -74,6 +74,24 @@ def meet(asked: DataFrame, held: DataFrame, run, schema: str) -> DataFrame:
     return pairs.select("ids", "v", "point_ids", "point_v").mapInArrow(run, schema)
 
 
+def nearest_of_blocks(asked: DataFrame, held: DataFrame, k: int, keep_self: bool) -> DataFrame:
+    """(query_id, rank, neighbor_id, distance) from packed blocks of queries and of points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, A.Nearest] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                names, m = unpacked(batch, "ids", "v", row)
+                key = names[:1].tobytes()
+                if key not in best:
+                    best[key] = A.Nearest(names.copy(), m.copy(), k, keep_self)
+                best[key].add(*unpacked(batch, "point_ids", "point_v", row))
+        for found in best.values():
+            yield pa.record_batch([pa.array(x) for x in found.rows()], names=["query_id", "rank", "neighbor_id", "distance"])
+
+    return meet(asked, held, run, RESULT)
+
+
 def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -111,14 +129,9 @@ def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
 
 
 def search_blocks(queries: DataFrame, points: DataFrame, counts: tuple[int, int], k: int, keep_self: bool) -> DataFrame:
-    """The ``blocks`` form: every pair of blocks is searched by itself."""
-    rows, columns = counts
-    deal = lambda count, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    asked = queries.select("id", "v", deal(rows, 1).alias("i"), every(columns).alias("j"), F.lit(True).alias("query"))
-    held = points.select("id", "v", every(rows).alias("i"), deal(columns, 2).alias("j"), F.lit(False).alias("query"))
-    cells = asked.unionByName(held).select(F.xxhash64("i", "j").alias("cell"), "id", "query", "v")
-    return merge_units(search_units(cells, k, keep_self), k)
+    """The ``blocks`` form; there are as many blocks of queries as tasks can run, at least."""
+    rows, columns = max(counts[0], queries.sparkSession.sparkContext.defaultParallelism), counts[1]
+    return nearest_of_blocks(packed(_dealt(queries, rows), rows), packed(_dealt(points, columns), columns, k + 1), k, keep_self)
 
 
 def _broadcast(queries: DataFrame, points: DataFrame, k: int, keep_self: bool) -> DataFrame:

@@ -147,3 +147,32 @@ def test_rounding_and_differences():
     assert A.rounded(x, 1).tolist() == [0.5, -0.5, 1.3, -1.3, 0.0, 2.0**60, np.inf, 0.0] and not np.signbit(A.rounded(x, 1)[4])
     q, c = np.random.default_rng(8).random((2, 1500, 5))
     assert np.allclose(A.squared_differences(q[:37], c), ((q[:37, None] - c) ** 2).sum(axis=2), rtol=1e-12)
+
+
+@pytest.mark.parametrize("case", range(8))
+def test_nearest_by_blocks_equals_nearest_rows(case):
+    rng = np.random.default_rng(case)
+    points = [rng.random((90, 5)), rng.integers(0, 3, (90, 3)).astype(float), 1e6 + 1e-3 * rng.random((90, 4)), np.full((90, 2), 0.3)][case % 4]
+    ids, names = rng.permutation(200)[:90], rng.permutation(200)[:30]
+    asked, keep_self = points[rng.integers(0, 90, 30)], case >= 4
+    best = A.Nearest(names, asked, 7, keep_self)
+    for part in np.array_split(rng.permutation(90), [4, 30, 31, 80]):
+        part = part[np.argsort(ids[part])]
+        part = part[A.first_copies(points[part], 8)]
+        best.add(ids[part], points[part])
+    name, rank, near, far = best.rows()
+    for got, expected in zip((name, near, far), A.nearest_rows(asked, names, points, ids, 7, keep_self), strict=True):
+        assert np.array_equal(got, expected)
+    assert rank.tolist() == [*range(1, 8)] * 30
+
+
+def test_copies_beyond_the_first_are_left_out():
+    rows = np.array([[1.0, 2.0], [0.0, 0.0], [1.0, 2.0], [1.0, 2.0], [0.0, 0.0], [5.0, 5.0]])
+    assert A.first_copies(rows, 2).tolist() == [0, 1, 2, 4, 5] and A.first_copies(rows, 1).tolist() == [0, 1, 5]
+
+
+def test_blocks_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(knn, "POINT_BYTES", 2 * 8 * 3 * 5)
+    rows = frame(spark, np.random.default_rng(6).random((40, 3)))
+    plan = knn.all_to_all(rows, 2, mode="blocks")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CartesianProduct" in plan
