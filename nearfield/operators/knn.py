@@ -92,33 +92,6 @@ def nearest_of_blocks(asked: DataFrame, held: DataFrame, k: int, keep_self: bool
     return meet(asked, held, run, RESULT)
 
 
-def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            yield pa.record_batch([batch.column("cell"), batch.column("id"), batch.column("query"), A.binaries(A.matrix(batch.column("v")))], names=["cell", "id", "query", "v"])
-
-
-def search_units(cells: DataFrame, k: int, keep_self: bool) -> DataFrame:
-    """The k nearest inside each unit, for rows (cell, id, query, v): every unit's queries against its points."""
-
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        query = np.asarray(A.chunk(table, "query").to_numpy(zero_copy_only=False), bool)
-        if query.any() and not query.all():
-            ids, m = A.long_values(A.chunk(table, "id")), A.from_binaries(A.chunk(table, "v"))
-            found = A.nearest_rows(m[query], ids[query], m[~query], ids[~query], k, keep_self)
-            yield pa.record_batch([pa.array(x) for x in found], names=["query_id", "neighbor_id", "distance"])
-
-    packed = cells.select("cell", "id", "query", "v").mapInArrow(_pack_rows, "cell long, id long, query boolean, v binary")
-    return packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(A.by_key("cell", work), FOUND)
-
-
-def merge_units(found: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each query among its units' results."""
-    best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbor_id"))), 1, k)
-    rows = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "b"))
-    return rows.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.neighbor_id").alias("neighbor_id"), F.col("b.distance").alias("distance"))
-
-
 def block_counts(m: int, n: int, dim: int, memory_ratio: float) -> tuple[int, int]:
     """How many blocks m queries and n points are dealt to."""
     return tuple(math.ceil(count / max(1, int(memory_ratio * most) // (8 * dim))) for count, most in ((m, QUERY_BYTES), (n, POINT_BYTES)))

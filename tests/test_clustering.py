@@ -119,3 +119,16 @@ def test_bad_arguments():
     for ratio in (0, -1, 1.5):
         with pytest.raises(ValueError):
             validate.check_ratio(ratio)
+
+
+def test_large_clusters_are_shuffled_once(spark, monkeypatch):
+    m = np.random.default_rng(11).integers(0, 4, (150, 3)).astype(float)
+    rows = frame(spark, m)
+    clustered, plan = ann.cluster_points(rows, 4, 3)
+    expected = sorted(tuple(r) for r in ann.search_clusters(clustered, 4, plan.sizes).collect())
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(ann, "UNIT_BLOCKS", sorted(plan.sizes)[1] // 9 + 1)
+    cut = ann.search_clusters(clustered, 4, plan.sizes)
+    text = cut._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text and "CartesianProduct" in text
+    assert sorted(tuple(r) for r in cut.collect()) == expected
