@@ -132,3 +132,12 @@ def test_large_clusters_are_shuffled_once(spark, monkeypatch):
     text = cut._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in text and "CartesianProduct" in text
     assert sorted(tuple(r) for r in cut.collect()) == expected
+
+
+def test_recall_repeats_no_row(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 10)
+    rows = frame(spark, np.random.default_rng(12).random((90, 4)))
+    clustered, plan = ann.cluster_points(rows, 3, 1)
+    report = evaluate.per_query_recall(knn.all_to_all(rows, 3, mode="blocks"), ann.search_clusters(clustered, 3, plan.sizes))
+    assert "Generate" not in report._jdf.queryExecution().executedPlan().toString()
+    assert {(r["n_found"], r["n_total"]) for r in report.collect()} == {(3, 3)} and report.count() == 90
