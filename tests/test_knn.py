@@ -176,3 +176,24 @@ def test_blocks_are_shuffled_once(spark, monkeypatch):
     rows = frame(spark, np.random.default_rng(6).random((40, 3)))
     plan = knn.all_to_all(rows, 2, mode="blocks")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "CartesianProduct" in plan
+
+
+def test_a_block_is_merged_once(monkeypatch):
+    rng, merges, merge = np.random.default_rng(13), [], A.Nearest._merge
+    points = rng.integers(0, 4, (90, 3)).astype(float)
+    names, asked = np.arange(1000, 2300), rng.random((1300, 3))
+    monkeypatch.setattr(A.Nearest, "_merge", lambda self, *given: merges.append(1) or merge(self, *given))
+    best = A.Nearest(names, asked, 5)
+    for lo in (0, 40):
+        best.add(np.arange(90)[lo : lo + 40 + lo], points[lo : lo + 40 + lo])
+    name, _, near, far = best.rows()
+    for got, expected in zip((name, near, far), A.nearest_rows(asked, names, points, np.arange(90), 5), strict=True):
+        assert np.array_equal(got, expected)
+    assert len(merges) == 2
+
+
+def test_true_places():
+    rng = np.random.default_rng(14)
+    for rows, columns, share in [(1, 1, 1), (1, 7, 0.5), (3, 5, 0.2), (9, 8, 0), (20, 37, 0.01), (4, 64, 1)]:
+        mask = rng.random((rows, columns)) < share
+        assert A.true_places(mask).tolist() == np.flatnonzero(mask).tolist()
