@@ -141,3 +141,12 @@ def test_recall_repeats_no_row(spark, monkeypatch):
     report = evaluate.per_query_recall(knn.all_to_all(rows, 3, mode="blocks"), ann.search_clusters(clustered, 3, plan.sizes))
     assert "Generate" not in report._jdf.queryExecution().executedPlan().toString()
     assert {(r["n_found"], r["n_total"]) for r in report.collect()} == {(3, 3)} and report.count() == 90
+
+
+def test_recall_percent_repeats_no_row(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 10)
+    rows = frame(spark, np.random.default_rng(15).random((90, 4)))
+    clustered, plan = ann.cluster_points(rows, 3, 1)
+    report = evaluate.recall(knn.all_to_all(rows, 3, mode="blocks"), ann.search_clusters(clustered, 3, plan.sizes))
+    assert "Generate" not in report._jdf.queryExecution().executedPlan().toString()
+    assert tuple(report.first()) == (270, 270, 100.0)
