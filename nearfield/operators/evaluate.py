@@ -22,7 +22,18 @@ def per_query_recall(truth: DataFrame, found: DataFrame) -> DataFrame:
 
 def recall(truth: DataFrame, found: DataFrame) -> DataFrame:
     """(n_found, n_total, recall_pct) over all queries; recall_pct is null for an empty truth."""
-    total = per_query_recall(truth, found).agg(F.coalesce(F.sum("n_found"), F.lit(0)).alias("n_found"), F.coalesce(F.sum("n_total"), F.lit(0)).alias("n_total"))
+    return in_all(per_query_recall(truth, found))
+
+
+def clustered_recall(points: DataFrame, k: int, clusters: int, seed_ids: Sequence[int] | None = None) -> DataFrame:
+    """``per_query_recall`` of ``ann.clustered_all_to_all`` against ``knn.all_to_all``, with both searches in one pass."""
+    clustered, plan = ann.cluster_points(points, k, clusters, seed_ids)
+    return ann.hits(clustered, k, plan.sizes)
+
+
+def in_all(counts: DataFrame) -> DataFrame:
+    """(n_found, n_total, recall_pct) from the counts of each query."""
+    total = counts.agg(F.coalesce(F.sum("n_found"), F.lit(0)).alias("n_found"), F.coalesce(F.sum("n_total"), F.lit(0)).alias("n_total"))
     return total.withColumn("recall_pct", F.when(F.col("n_total") > 0, F.col("n_found") * 100.0 / F.col("n_total")))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield import scratch
 from nearfield.functions import distance
 from nearfield.operators import ann, clustering, evaluate, knn
 from nearfield.sources import vectors
@@ -144,17 +143,12 @@ def _ann(clusters: int):
     return query
 
 
-def _compared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = points(spark, sf_dir)
-    return knn.all_to_all(rows, K), scratch.materialize(ann.clustered_all_to_all(rows, K, CLUSTERS), "approximate")
-
-
 def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.recall(*_compared(spark, sf_dir)).select("n_found", "n_total", digits("recall_pct"))
+    return evaluate.in_all(per_query_recall(spark, sf_dir)).select("n_found", "n_total", digits("recall_pct"))
 
 
 def per_query_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.per_query_recall(*_compared(spark, sf_dir))
+    return evaluate.clustered_recall(points(spark, sf_dir), K, CLUSTERS)
 
 
 QUERIES = {

@@ -39,10 +39,11 @@ def root(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/nearfield-{app}"
 
 
-def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None, file_rows: int = 0) -> DataFrame:
     """Write a frame to a fresh folder and return a frame that reads it.
 
-    ``batch_rows`` bounds the rows of an Arrow batch in this write, for steps that hand whole texts to Python.
+    ``batch_rows`` bounds the rows of an Arrow batch in this write, for steps that hand whole texts to Python,
+    and ``file_rows`` the rows of a file, for rows so large that a reader should not hold many.
     """
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -50,7 +51,7 @@ def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
     if batch_rows is not None:
         spark.conf.set(BATCH, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     finally:
         spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)

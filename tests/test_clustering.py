@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from nearfield.operators import ann, clustering, evaluate, knn, validate
+from nearfield.plans import reference_queries
 from nearfield.plans.reference_queries import points as embeddings
 
 
@@ -150,3 +151,35 @@ def test_recall_percent_repeats_no_row(spark, monkeypatch):
     report = evaluate.recall(knn.all_to_all(rows, 3, mode="blocks"), ann.search_clusters(clustered, 3, plan.sizes))
     assert "Generate" not in report._jdf.queryExecution().executedPlan().toString()
     assert tuple(report.first()) == (270, 270, 100.0)
+
+
+def shuffled_rows(spark):
+    """Rows that stages have written for a shuffle so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_recall_shuffles_points_once(spark, tmp_path):
+    m = np.random.default_rng(16).random((2000, 3))
+    spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = shuffled_rows(spark)
+    n_found, n_total, _ = reference_queries.recall(spark, str(tmp_path)).first()
+    assert n_total == 20_000 and 10_000 < n_found < 20_000
+    assert shuffled_rows(spark) - before < 4000
+
+
+@pytest.mark.parametrize("clusters", [1, 4])
+def test_one_pass_recall(spark, monkeypatch, clusters):
+    monkeypatch.setattr(knn, "QUERY_BYTES", 16 * 8 * 3)
+    monkeypatch.setattr(knn, "POINT_BYTES", 26 * 8 * 3)
+    m = np.random.default_rng(17).integers(0, 5, (200, 3)).astype(float)
+    m[:40] = m[0]
+    rows = frame(spark, m)
+    clustered, plan = ann.cluster_points(rows, 4, clusters)
+    expected = evaluate.per_query_recall(knn.all_to_all(rows, 4, mode="broadcast"), ann.search_clusters(clustered, 4, plan.sizes))
+    got = evaluate.clustered_recall(rows, 4, clusters)
+    assert got.columns == expected.columns and got.count() == 200
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    assert tuple(evaluate.in_all(got).first()) == tuple(evaluate.in_all(expected).first())
